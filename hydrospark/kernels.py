@@ -87,26 +87,25 @@ def neighbor_lists(n, a, b, weight):
 def flood(n, a, b, weight, level, label, seeds):
     """Lowest pass from every node to a seed: (level, label of that seed).
 
-    Nodes are taken in order of rising level; an unreached node inherits the
-    label it is reached from and the higher of the two levels.
+    Nodes are settled in order of rising level; a node takes the label of the
+    neighbour through which it is reached lowest.
     """
     starts, dst, w = neighbor_lists(n, a, b, weight)
-    level, label = level.tolist(), label.tolist()
-    reached = [False] * n
-    heap = []
-    for s in seeds.tolist():
-        reached[s] = True
-        heap.append((level[s], s))
+    heap = [(height, s) for height, s in zip(level[seeds].tolist(), seeds.tolist())]
+    reached = np.full(n, np.inf)
+    reached[seeds] = level[seeds]
+    level, label = reached.tolist(), label.tolist()
     heapq.heapify(heap)
     while heap:
         height, u = heapq.heappop(heap)
+        if height > level[u]:
+            continue
         for k in range(starts[u], starts[u + 1]):
             v = dst[k]
-            if not reached[v]:
-                reached[v] = True
-                level[v] = w[k] if w[k] > height else height
-                label[v] = label[u]
-                heapq.heappush(heap, (level[v], v))
+            rise = w[k] if w[k] > height else height
+            if rise < level[v]:
+                level[v], label[v] = rise, label[u]
+                heapq.heappush(heap, (rise, v))
     return np.array(level), np.array(label, dtype=np.int64)
 
 
