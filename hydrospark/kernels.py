@@ -25,7 +25,7 @@ def grid_pairs(shape):
     pairs = []
     for dr, dc in HALF_STEPS:
         from_ = index[max(0, -dr):height - max(0, dr), max(0, -dc):width - max(0, dc)]
-        to = index[max(0, dr):height + min(0, dr) or None, max(0, dc):width + min(0, dc) or None]
+        to = index[max(0, dr):height - max(0, -dr), max(0, dc):width - max(0, -dc)]
         pairs.append((from_.ravel(), to.ravel()))
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 

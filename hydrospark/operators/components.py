@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hydrospark import kernels
 from hydrospark.grouped import map_groups, widened
 from hydrospark.operators.grid import extent
-from hydrospark.schema import KEYS, TILE_KEYS, cell_id, id_row
+from hydrospark.schema import KEYS, TILE_KEYS, id_row
 from hydrospark.scratch import cut
 from hydrospark.tiling import (
     attach, lookup_by_tile, lookup_salted, on_tile_border, tile_fan, tile_of, tile_side, with_tile,
@@ -218,8 +218,3 @@ def filter_components(g: DataFrame, col: str, keep_value: bool, min_size) -> Dat
     value = F.when(small, F.lit(not keep_value)).otherwise(F.col(col))
     return looked.withColumn(col, value).select(*g.columns)
 
-
-__all__ = [
-    "border_connected", "cell_id", "component_sizes", "connected_components", "filter_components",
-    "flat_regions", "graph_roots", "scan_order_ids",
-]
