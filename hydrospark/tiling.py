@@ -82,8 +82,8 @@ def attach(big: DataFrame, small: DataFrame, spread=None) -> DataFrame:
     The statistics are written first; they are broadcast only when their counted
     rows stay below ``BROADCAST_ROWS``, otherwise the cells are salted.
     """
-    small = cut(small)
-    if small.count() <= BROADCAST_ROWS:
+    small, seen = cut(small, n=F.count("*"))
+    if seen["n"] <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), "raster_id", "left")
     spread = F.struct("row", "col") if spread is None else spread
     return lookup_salted(big, small, ["raster_id"], spread)
