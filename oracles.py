@@ -32,40 +32,41 @@ def raster(name: str, masked: bool = False) -> str:
     keep = " AND coalesce(e.event_id % 11 <> 0, true)" if masked else ""
     join = "LEFT JOIN events e ON e.event_id = g.id" if masked else ""
     return DIMS + f""",
-src AS ({HEIGHTS[name]}),
-cells AS (SELECT g.id, g.r, g.c, coalesce(s.h, 0) AS h, s.k IS NOT NULL{keep} AS v
+src AS MATERIALIZED ({HEIGHTS[name]}),
+cells AS MATERIALIZED (SELECT g.id, g.r, g.c, coalesce(s.h, 0) AS h, s.k IS NOT NULL{keep} AS v
   FROM grid g LEFT JOIN src s ON s.k = g.id {join})"""
 
 
 NB = """,
-nb AS (SELECT a.id, a.r, a.c, a.h, a.v, s.i, s.len, b.id AS nid, b.h AS nh, b.v AS nv
-  FROM cells a CROSS JOIN steps s LEFT JOIN cells b ON b.r = a.r + s.dr AND b.c = a.c + s.dc)"""
+reach AS MATERIALIZED (SELECT a.id, a.r, a.c, a.h, a.v, s.i, s.len,
+  CASE WHEN a.c + s.dc BETWEEN 0 AND w - 1 THEN a.id + s.dr * w + s.dc END AS k FROM cells a, steps s, dims),
+nb AS MATERIALIZED (SELECT a.id, a.r, a.c, a.h, a.v, a.i, a.len, b.id AS nid, b.h AS nh, b.v AS nv
+  FROM reach a LEFT JOIN cells b ON b.id = a.k)"""
 EDGE = """,
-contact AS (SELECT id, v AND bool_or(NOT coalesce(nv, false)) AS e FROM nb GROUP BY id, v)"""
+contact AS MATERIALIZED (SELECT id, v AND bool_or(NOT coalesce(nv, false)) AS e FROM nb GROUP BY id, v)"""
 STRICT = """,
-strict AS (SELECT c.id, c.r, c.c, c.v, coalesce(d.i, -1) AS d FROM cells c LEFT JOIN
-  (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY (h - nh) / len DESC, i) AS k
-   FROM nb WHERE v AND nv AND h > nh) d ON d.id = c.id AND d.k = 1)"""
+strict AS MATERIALIZED (SELECT c.id, c.r, c.c, c.v, coalesce(d.i, -1) AS d FROM cells c LEFT JOIN
+  (SELECT id, arg_min(i, [-(h - nh) / len, i]) AS i FROM nb WHERE v AND nv AND h > nh GROUP BY id) d ON d.id = c.id)"""
 ARROWS = """,
-strict AS (SELECT id, r, c, v, CASE WHEN v THEN h ELSE -1 END AS d FROM cells)"""
+strict AS MATERIALIZED (SELECT id, r, c, v, CASE WHEN v THEN h ELSE -1 END AS d FROM cells)"""
 FLOW = """,
-flow AS (SELECT s.id AS src, t.id AS dst FROM strict s JOIN steps k ON k.i = s.d
+flow AS MATERIALIZED (SELECT s.id AS src, t.id AS dst FROM strict s JOIN steps k ON k.i = s.d
   JOIN cells t ON t.r = s.r + k.dr AND t.c = s.c + k.dc)"""
 WALK = """,
 walk(src, cur, n) AS (SELECT id, id, 0 FROM cells UNION ALL
   SELECT w.src, f.dst, w.n + 1 FROM walk w JOIN flow f ON f.src = w.cur)"""
 ACC = """,
-acc AS (SELECT cur AS id, count(*) AS a FROM walk GROUP BY cur)"""
+acc AS MATERIALIZED (SELECT cur AS id, count(*) AS a FROM walk GROUP BY cur)"""
 
 
 def components(name: str, active: str, pairs: str) -> str:
     """Smallest-id labelling ``name(id, lab)`` of the ids in ``active`` along ``pairs``."""
     return f""",
-{name}_on AS ({active}),
-{name}_pair AS ({pairs}),
+{name}_on AS MATERIALIZED ({active}),
+{name}_pair AS MATERIALIZED ({pairs}),
 {name}(id, lab) USING KEY (id) AS (SELECT id, id FROM {name}_on UNION
   SELECT p.b, min(x.lab) FROM {name} x JOIN {name}_pair p ON p.a = x.id
-  JOIN recurring.{name} AS y ON y.id = p.b WHERE x.lab < y.lab GROUP BY p.b)"""
+  JOIN recurring.{name} AS y ON y.id = p.b GROUP BY p.b, y.lab HAVING min(x.lab) < y.lab)"""
 
 
 def mask_components(name: str, active: str) -> str:
@@ -76,42 +77,42 @@ def mask_components(name: str, active: str) -> str:
 
 FLATS = components("flat", "SELECT id FROM cells WHERE v", "SELECT id AS a, nid AS b FROM nb WHERE v AND nv AND h = nh")
 DROPS = """,
-drops AS (SELECT nb.id, max(CASE WHEN nv AND coalesce(y.lab <> x.lab, true) AND h > nh THEN h - nh ELSE 0 END) AS d
+drops AS MATERIALIZED (SELECT nb.id, max(CASE WHEN nv AND coalesce(y.lab <> x.lab, true) AND h > nh THEN h - nh ELSE 0 END) AS d
   FROM nb JOIN flat x ON x.id = nb.id LEFT JOIN flat y ON y.id = nb.nid GROUP BY nb.id)"""
 OUTLETS = """,
-around AS (SELECT x.lab, nb.id, nb.h, nb.nh FROM nb JOIN flat x ON x.id = nb.id LEFT JOIN flat y ON y.id = nb.nid
+around AS MATERIALIZED (SELECT x.lab, nb.id, nb.h, nb.nh FROM nb JOIN flat x ON x.id = nb.id LEFT JOIN flat y ON y.id = nb.nid
   WHERE nv AND coalesce(y.lab <> x.lab, true)),
 region AS (SELECT f.lab, count(*) AS size FROM flat f GROUP BY f.lab),
-fo AS (SELECT g.lab, g.size, coalesce(bool_or(a.nh < a.h), false) AS has_lower,
+fo AS MATERIALIZED (SELECT g.lab, g.size, coalesce(bool_or(a.nh < a.h), false) AS has_lower,
   min(CASE WHEN a.nh >= a.h THEN a.nh END) AS spill FROM region g LEFT JOIN around a ON a.lab = g.lab GROUP BY g.lab, g.size),
 anchors AS (SELECT fo.lab, min(a.id) AS anchor FROM fo JOIN around a ON a.lab = fo.lab AND a.nh = fo.spill GROUP BY fo.lab)"""
 FLOOD = EDGE + """,
 lv AS (SELECT DISTINCT h AS l FROM cells WHERE v),
 wet(l, id) AS (SELECT l, c.id FROM lv, cells c JOIN contact k ON k.id = c.id WHERE k.e AND c.h <= l
   UNION SELECT wet.l, nb.nid FROM wet JOIN nb ON nb.id = wet.id WHERE nb.nv AND nb.nh <= wet.l),
-filled AS (SELECT c.id, c.r, c.c, c.h, c.v, coalesce(x.l, c.h) AS f FROM cells c
+filled AS MATERIALIZED (SELECT c.id, c.r, c.c, c.h, c.v, coalesce(x.l, c.h) AS f FROM cells c
   LEFT JOIN (SELECT id, min(l) AS l FROM wet GROUP BY id) x ON x.id = c.id)"""
 GRAD = """,
-grad AS (SELECT id, r, c, v, coalesce(max(CASE WHEN v AND nv THEN abs(h - nh) END), 0) AS g FROM nb GROUP BY id, r, c, v),
-gs AS (SELECT id, r, c, 1 - least(1.0, g / (SELECT CASE WHEN q <= 1e-6 THEN 1.0 ELSE q END
+grad AS MATERIALIZED (SELECT id, r, c, v, coalesce(max(CASE WHEN v AND nv THEN abs(h - nh) END), 0) AS g FROM nb GROUP BY id, r, c, v),
+gs AS MATERIALIZED (SELECT id, r, c, 1 - least(1.0, g / (SELECT CASE WHEN q <= 1e-6 THEN 1.0 ELSE q END
   FROM (SELECT quantile_cont(CAST(g AS DOUBLE), 0.95) AS q FROM grad WHERE v))) AS s FROM grad)"""
 VARIANCE = """,
-box AS (SELECT a.id, a.r, a.c, a.v, sum(CAST(b.h AS DOUBLE)) AS s1, sum(CAST(b.h AS DOUBLE) * b.h) AS s2, count(*) AS m
+box AS MATERIALIZED (SELECT a.id, a.r, a.c, a.v, sum(CAST(b.h AS DOUBLE)) AS s1, sum(CAST(b.h AS DOUBLE) * b.h) AS s2, count(*) AS m
   FROM cells a JOIN cells b ON b.v AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
   GROUP BY a.id, a.r, a.c, a.v),
-var AS (SELECT c.id, c.r, c.c, c.v, CASE WHEN c.v THEN CAST(CAST(greatest(s2 / m - (s1 / m) * (s1 / m), 0) AS FLOAT) AS DOUBLE)
+var AS MATERIALIZED (SELECT c.id, c.r, c.c, c.v, CASE WHEN c.v THEN CAST(CAST(greatest(s2 / m - (s1 / m) * (s1 / m), 0) AS FLOAT) AS DOUBLE)
   ELSE 0 END AS g FROM cells c LEFT JOIN box b ON b.id = c.id),
-vs AS (SELECT id, r, c, 1 - least(1.0, g / (SELECT CASE WHEN q <= 1e-6 THEN 1.0 ELSE q END
+vs AS MATERIALIZED (SELECT id, r, c, 1 - least(1.0, g / (SELECT CASE WHEN q <= 1e-6 THEN 1.0 ELSE q END
   FROM (SELECT quantile_cont(g, 0.95) AS q FROM var WHERE v))) AS s FROM var)"""
 BORDER = """,
 vals AS (SELECT id, r, c, h FROM cells WHERE v AND r = 0 UNION ALL SELECT id, r, c, h FROM cells, dims WHERE v AND r = nr - 1
   UNION ALL SELECT id, r, c, h FROM cells WHERE v AND c = 0 UNION ALL SELECT id, r, c, h FROM cells, dims WHERE v AND c = w - 1)"""
 VALLEY_CHANNEL = STRICT + FLOW + WALK + ACC + """,
-chan AS (SELECT c.id, c.r, c.c, c.v AND a.a >= 20 AS on_ FROM cells c JOIN acc a ON a.id = c.id)"""
+chan AS MATERIALIZED (SELECT c.id, c.r, c.c, c.v AND a.a >= 20 AS on_ FROM cells c JOIN acc a ON a.id = c.id)"""
 TRIM = EDGE + """,
 feed AS (SELECT f.dst AS id, bool_or(NOT k.e) AS inner_ FROM flow f JOIN chan s ON s.id = f.src AND s.on_
   JOIN contact k ON k.id = f.src GROUP BY f.dst),
-trimmed AS (SELECT c.id, c.r, c.c, c.on_ AND (NOT k.e OR coalesce(f.inner_, true)) AS on_ FROM chan c
+trimmed AS MATERIALIZED (SELECT c.id, c.r, c.c, c.on_ AND (NOT k.e OR coalesce(f.inner_, true)) AS on_ FROM chan c
   JOIN contact k ON k.id = c.id LEFT JOIN feed f ON f.id = c.id)"""
 
 
@@ -122,8 +123,8 @@ def sql(ctes: str, select: str) -> str:
 def kept(name: str, source: str, smallest: int) -> str:
     """``name(id, r, c, on_)``: pieces of ``source.on_`` below ``smallest`` cells removed."""
     return mask_components(f"{name}_lab", f"SELECT id FROM {source} WHERE on_") + f""",
-{name}_big AS (SELECT lab FROM {name}_lab GROUP BY lab HAVING count(*) >= {smallest}),
-{name} AS (SELECT t.id, t.r, t.c, t.on_ AND b.lab IS NOT NULL AS on_ FROM {source} t
+{name}_big AS MATERIALIZED (SELECT lab FROM {name}_lab GROUP BY lab HAVING count(*) >= {smallest}),
+{name} AS MATERIALIZED (SELECT t.id, t.r, t.c, t.on_ AND b.lab IS NOT NULL AS on_ FROM {source} t
   LEFT JOIN {name}_lab x ON x.id = t.id LEFT JOIN {name}_big b ON b.lab = x.lab)"""
 
 
@@ -148,7 +149,7 @@ add("height_mapping", O, f"SELECT {RC}, {D('255 - h')} AS height FROM cells")
 add("valid_mask", O, f"SELECT {RC}, v AND abs(h - 30) > 1e-8 + 1e-5 * 30 AS valid FROM cells")
 add("apply_mask", OM, f"SELECT {RC}, v AS valid FROM cells")
 add("roi_crop", O + """,
-inner_ AS (SELECT id, r, c, h, v AND h > 240 AS v FROM cells),
+inner_ AS MATERIALIZED (SELECT id, r, c, h, v AND h > 240 AS v FROM cells),
 bb AS (SELECT min(r) AS a, max(r) AS b, min(c) AS x, max(c) AS y FROM inner_ WHERE v)""",
     f"SELECT {RC}, {D('h')} AS height, v AS valid FROM inner_, bb, dims WHERE r BETWEEN greatest(0, a - 3) AND least(nr - 1, b + 3) "
     "AND c BETWEEN greatest(0, x - 3) AND least(w - 1, y + 3)")
@@ -167,7 +168,7 @@ add("overview", OM, """SELECT CAST(r // s AS INT) AS "row", CAST(c // s AS INT)
 add("edge_contact", OM + NB + EDGE, f"SELECT {RC}, e AS edge_contact FROM cells JOIN contact USING (id)")
 add("border_values", OM + BORDER, f"SELECT {RC}, {D('h')} AS height FROM vals")
 add("box_smooth", OM + """,
-box AS (SELECT a.id, avg(CAST(b.h AS DOUBLE)) AS m FROM cells a JOIN cells b ON b.v AND b.r BETWEEN a.r - 2 AND a.r + 2
+box AS MATERIALIZED (SELECT a.id, avg(CAST(b.h AS DOUBLE)) AS m FROM cells a JOIN cells b ON b.v AND b.r BETWEEN a.r - 2 AND a.r + 2
   AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY a.id)""",
     f"SELECT {RC}, round(CAST(CAST(CASE WHEN v THEN m ELSE h END AS FLOAT) AS DOUBLE), 4) AS height FROM cells LEFT JOIN box USING (id)")
 add("gradient_score", OM + NB + GRAD, f"SELECT {RC}, round(s, 6) AS gradient_score FROM gs")
@@ -189,12 +190,12 @@ add("component_sizes", O + NB + mask_components("cc", FIVES),
     "SELECT CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS components FROM (SELECT lab, count(*) AS size FROM cc GROUP BY lab) GROUP BY size")
 add("flat_regions", B + NB + FLATS, f"SELECT {RC}, {ID.format('lab')} AS label FROM cells JOIN flat USING (id), dims")
 add("border_connected", O + NB + """,
-act AS (SELECT id, r, c FROM cells WHERE v AND h % 3 = 0),
+act AS MATERIALIZED (SELECT id, r, c FROM cells WHERE v AND h % 3 = 0),
 hit(id) AS (SELECT id FROM act, dims WHERE r = 0 OR c = 0 OR r = nr - 1 OR c = w - 1 UNION
   SELECT nb.nid FROM hit JOIN nb ON nb.id = hit.id JOIN act ON act.id = nb.nid)""",
     f"SELECT {RC}, hit.id IS NOT NULL AS connected FROM cells LEFT JOIN hit USING (id)")
 add("filter_components", O + NB + """,
-start_ AS (SELECT id, r, c, v AND h % 5 = 0 AS on_ FROM cells)""" + kept("res", "start_", 4),
+start_ AS MATERIALIZED (SELECT id, r, c, v AND h % 5 = 0 AS on_ FROM cells)""" + kept("res", "start_", 4),
     f"SELECT {RC}, on_ AS fives FROM res")
 add("flat_outlets", B + NB + FLATS + OUTLETS,
     f"SELECT {ID.format('lab')} AS label, CAST(size AS BIGINT) AS size, has_lower, {D('spill')} AS spill, "
@@ -214,7 +215,7 @@ add("outlet_segments", B + NB + FLATS + DROPS + SEGMENTS + """,
 st AS (SELECT f.lab, s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(*)) AS strength, avg(r) AS cr, avg(c) AS cc, count(*) AS n
   FROM seg s JOIN flat f ON f.id = s.id JOIN drops ON drops.id = s.id JOIN cells ON cells.id = s.id GROUP BY f.lab, s.lab)""",
     f"SELECT {ID.format('lab')} AS label, CAST(row_number() OVER (PARTITION BY lab ORDER BY seg) - 1 AS INT) AS segment, "
-    "round(strength, 6) AS strength, round(cr, 6) AS center_row, round(cc, 6) AS center_col, CAST(n AS BIGINT) AS n_cells FROM st, dims")
+    "round(strength, 6) AS strength, round(cr, 6) AS center_row, round(cc, 6) AS center_col, CAST(st.n AS BIGINT) AS n_cells FROM st, dims")
 add("fill_depressions", B + NB + FLOOD, f"SELECT {RC}, {D('f')} AS height, {D('CASE WHEN v THEN f - h ELSE 0 END')} AS fill_depth FROM filled")
 add("fill_depressions_capped", B + NB + FLOOD, f"SELECT {RC}, {D('CASE WHEN v THEN least(f, h + 2) ELSE h END')} AS height FROM filled")
 add("fill_audit", B + NB + FLOOD, f"""SELECT CAST(count(*) FILTER (WHERE v AND f > h) AS BIGINT) AS changed,
@@ -281,24 +282,24 @@ add("layer_catalog", DIMS, """SELECT layer, stage, CASE WHEN ok THEN 'ready' ELS
 add("write_stage", O, f"SELECT {RC}, {D('h')} AS height, v AS valid FROM cells")
 add("auto_mask", VM + NB + GRAD + VARIANCE + BORDER + """,
 mdl AS (SELECT median(CAST(h AS DOUBLE)) AS mid, CASE WHEN stddev_pop(h) <= 1e-6 THEN 1.0 ELSE stddev_pop(h) END AS sd FROM vals),
-cand AS (SELECT c.id, c.r, c.c, c.v AND 0.45 * CAST(CAST(greatest(0.0, least(1.0, 1 - abs(c.h - mid) / greatest(1.0, sd * 2.25))) AS FLOAT) AS DOUBLE)
+cand AS MATERIALIZED (SELECT c.id, c.r, c.c, c.v AND 0.45 * CAST(CAST(greatest(0.0, least(1.0, 1 - abs(c.h - mid) / greatest(1.0, sd * 2.25))) AS FLOAT) AS DOUBLE)
   + 0.30 * gs.s + 0.25 * vs.s >= 0.58 AS x FROM cells c JOIN gs ON gs.id = c.id JOIN vs ON vs.id = c.id, mdl),
 gone(id) AS (SELECT id FROM cand, dims WHERE x AND (r = 0 OR c = 0 OR r = nr - 1 OR c = w - 1) UNION
   SELECT nb.nid FROM gone JOIN nb ON nb.id = gone.id JOIN cand ON cand.id = nb.nid AND cand.x),
-m1 AS (SELECT c.id, c.r, c.c, c.v AND g.id IS NULL AS on_ FROM cells c LEFT JOIN gone g ON g.id = c.id)""" + kept("m2", "m1", 64) + """,
-m3 AS (SELECT id, r, c, NOT on_ AS on_ FROM m2)""" + kept("m4", "m3", 32),
+m1 AS MATERIALIZED (SELECT c.id, c.r, c.c, c.v AND g.id IS NULL AS on_ FROM cells c LEFT JOIN gone g ON g.id = c.id)""" + kept("m2", "m1", 64) + """,
+m3 AS MATERIALIZED (SELECT id, r, c, NOT on_ AS on_ FROM m2)""" + kept("m4", "m3", 32),
     f"SELECT {RC}, NOT m4.on_ AND v AS auto_mask FROM m4 JOIN (SELECT id, v FROM cells) USING (id)")
 MULTI = """
 dm AS (SELECT CAST(ceil(sqrt(ceil(count(*) / 4.0))) AS BIGINT) AS w FROM orders),
-src AS (SELECT o_orderkey % 4 AS q, (o_orderkey // 4) // w AS r, (o_orderkey // 4) % w AS c, CAST(floor(o_totalprice / 2000) AS INT) AS h FROM orders, dm),
+src AS MATERIALIZED (SELECT o_orderkey % 4 AS q, (o_orderkey // 4) // w AS r, (o_orderkey // 4) % w AS c, CAST(floor(o_totalprice / 2000) AS INT) AS h FROM orders, dm),
 ext AS (SELECT q, max(r) + 1 AS nr, max(c) + 1 AS nc FROM src GROUP BY q),
-cells AS (SELECT g.q * 1000000000 + g.r * g.nc + g.c AS id, g.q, g.r, g.c, coalesce(s.h, 0) AS h, s.q IS NOT NULL AS v
+cells AS MATERIALIZED (SELECT g.q * 1000000000 + g.r * g.nc + g.c AS id, g.q, g.r, g.c, coalesce(s.h, 0) AS h, s.q IS NOT NULL AS v
   FROM (SELECT q, k // nc AS r, k % nc AS c, nc FROM ext, unnest(range(0, nr * nc)) AS t(k)) g LEFT JOIN src s ON s.q = g.q AND s.r = g.r AND s.c = g.c),
 steps(i, dr, dc, len) AS (VALUES (0,-1,0,1.0),(1,-1,1,sqrt(2)),(2,0,1,1.0),(3,1,1,sqrt(2)),
   (4,1,0,1.0),(5,1,-1,sqrt(2)),(6,0,-1,1.0),(7,-1,-1,sqrt(2))),
-nb AS (SELECT a.id, a.h, a.v, s.i, s.len, b.id AS nid, b.h AS nh, b.v AS nv
+nb AS MATERIALIZED (SELECT a.id, a.h, a.v, s.i, s.len, b.id AS nid, b.h AS nh, b.v AS nv
   FROM cells a CROSS JOIN steps s LEFT JOIN cells b ON b.q = a.q AND b.r = a.r + s.dr AND b.c = a.c + s.dc),
-flow AS (SELECT id AS src, nid AS dst FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY (h - nh) / len DESC, i) AS k
+flow AS MATERIALIZED (SELECT id AS src, nid AS dst FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY (h - nh) / len DESC, i) AS k
   FROM nb WHERE v AND nv AND h > nh) WHERE k = 1)"""
 add("flow_accumulation_multi", MULTI + WALK + ACC,
     f"SELECT 'orders_' || q AS raster_id, {RC}, CAST(a AS BIGINT) AS accumulation FROM cells JOIN acc USING (id)")
