@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.config import PreprocessConfig
+from hydrospark.functions.quantiles import exact_quantile
 from hydrospark.operators import grid
 from hydrospark.operators.components import border_connected, filter_components
 from hydrospark.operators.flooding import fill_depressions
@@ -23,10 +24,11 @@ INVALID_SCORE = 0.58  # fixed value
 
 def _auto_mask_core(g: DataFrame, border_sensitivity: float, texture_sensitivity: float) -> DataFrame:
     """``auto_mask`` on one resolution; ``g`` has ``min_region`` (cells) per raster."""
-    border = grid.border_values(g.select(*KEYS, "height", "valid"))
-    model = border.groupBy("raster_id").agg(
-        F.median("height").alias("_mid"), F.stddev_pop(F.col("height").cast("double")).alias("_std")
-    ).withColumn("_std", F.when(F.col("_std") <= 1e-6, 1.0).otherwise(F.col("_std")))
+    # Without valid border cells every valid cell counts, so the median must not gather a raster.
+    border = cut(grid.border_values(g.select(*KEYS, "height", "valid")))
+    spread = F.stddev_pop(F.col("height").cast("double"))
+    model = border.groupBy("raster_id").agg(F.when(spread <= 1e-6, 1.0).otherwise(spread).alias("_std")).join(
+        exact_quantile(border, "height", 0.5, "_mid"), "raster_id")
     reach = F.greatest(F.lit(1.0), F.col("_std") * F.lit(2.25 / max(border_sensitivity, 0.1)))
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     weight = F.lit(float(texture_sensitivity))

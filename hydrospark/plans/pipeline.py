@@ -14,7 +14,7 @@ from hydrospark.operators.flowgraph import flow_accumulation
 from hydrospark.operators.grid import densify
 from hydrospark.operators.routing import flow_direction
 from hydrospark.schema import KEYS
-from hydrospark.scratch import cut
+from hydrospark.scratch import cut, drop_scratch, scratch_mark
 from hydrospark.sources import stages as store
 
 
@@ -75,7 +75,9 @@ def run_pipeline(
 
     ran = []
     for stage in STAGES[first:last + 1]:
+        mark = scratch_mark()
         written = store.write_stage(build(stage), run_dir, stage)
+        drop_scratch(spark, mark)
         ran.append(stage)
         if stage == STAGES[-1] and output_path:
             written.write.mode("overwrite").partitionBy("raster_id").parquet(output_path)

@@ -25,6 +25,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def scratch_mark() -> int:
+    """Position to hand to ``drop_scratch`` later."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch tables written since ``mark``; nothing may still read them."""
+    while len(_written) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, **metrics: Column):
     """Write ``df`` to scratch and return the table read back.
 
@@ -35,6 +50,7 @@ def cut(df: DataFrame, **metrics: Column):
         return df
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     seen = None
     if metrics:
         seen = Observation(uuid.uuid4().hex)
