@@ -126,7 +126,7 @@ def _chase(gates: DataFrame) -> DataFrame:
             "raster_id", F.col("id").alias("nxt"), F.col("nxt").alias("n2"), F.col("last").alias("l2"),
             F.col("loop").alias("o2"), F.col("len").alias("s2"), F.col("low").alias("w2"),
         )
-        jumped = lookup_salted(state.where("nxt IS NOT NULL"), ahead, ["raster_id", "nxt"], F.col("id")).select(
+        jumped = lookup_salted(state.where("nxt IS NOT NULL"), ahead, ["raster_id", "nxt"], F.col("id"), rows=total).select(
             "raster_id", "id", F.col("n2").alias("nxt"), F.col("l2").alias("last"), F.col("o2").alias("loop"),
             (F.col("len") + F.col("s2")).alias("len"), F.least("low", "w2").alias("low"),
         )
@@ -232,7 +232,7 @@ def flow_accumulation(g: DataFrame) -> DataFrame:
     for _ in range(math.ceil(math.log2(total + 1)) + 2 if total else 0):
         arriving = state.where("nxt IS NOT NULL").groupBy("raster_id", F.col("nxt").alias("id")).agg(F.sum("s").alias("add"))
         ahead = state.select("raster_id", F.col("id").alias("nxt"), F.col("nxt").alias("n2"))
-        jumped = lookup_salted(state.where("nxt IS NOT NULL"), ahead, ["raster_id", "nxt"], F.col("id")).select(
+        jumped = lookup_salted(state.where("nxt IS NOT NULL"), ahead, ["raster_id", "nxt"], F.col("id"), rows=total).select(
             "raster_id", "id", F.col("n2").alias("nxt"), "s"
         )
         state, seen = cut(

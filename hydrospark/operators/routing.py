@@ -99,21 +99,27 @@ def component_exit(g: DataFrame, others_safe: bool = True) -> tuple[DataFrame, D
 
 
 def _waiting(picks: DataFrame) -> DataFrame:
-    """The last component (in scan order) of every loop of mutual exits."""
+    """The last component (in scan order) of every loop of mutual exits.
+
+    ``high`` is the largest component met after leaving one; a component that meets
+    itself as the largest is on a loop and the last of it.
+    """
     total = picks.count()
-    state = picks.where("nxt IS NOT NULL").select("raster_id", F.col("catch").alias("id"), "nxt", F.col("catch").alias("high"))
+    state = picks.where("nxt IS NOT NULL").select("raster_id", F.col("catch").alias("id"), "nxt", F.col("nxt").alias("high"))
     for _ in range(math.ceil(math.log2(total + 1)) + 1 if total else 0):
         ahead = state.select("raster_id", F.col("id").alias("nxt"), F.col("nxt").alias("n2"), F.col("high").alias("h2"))
         state, seen = cut(
-            lookup_salted(state, ahead, ["raster_id", "nxt"], F.col("id"))
+            lookup_salted(state, ahead, ["raster_id", "nxt"], F.col("id"), rows=total)
             .where("n2 IS NOT NULL")
-            .select("raster_id", "id", F.col("n2").alias("nxt"), F.greatest("high", "h2").alias("high")),
-            left=F.count("*"),
+            .select("raster_id", "id", F.col("n2").alias("nxt"), F.greatest("high", "h2").alias("high"),
+                    (F.col("h2") > F.col("high")).alias("_grew")),
+            grew=F.count_if("_grew"),
         )
-        if not seen["left"]:
+        state = state.drop("_grew")
+        # Ids are unique, so once no maximum grows every loop has seen its own.
+        if not seen["grew"]:
             break
-    on_loop = state.select("raster_id", F.col("nxt").alias("id")).distinct()
-    return state.join(on_loop, ["raster_id", "id"], "left_semi").where("id = high").select("raster_id", F.col("id").alias("catch"))
+    return state.where("id = high").select("raster_id", F.col("id").alias("catch"))
 
 
 def route_components(cells: DataFrame, picks: DataFrame) -> DataFrame:
@@ -156,14 +162,15 @@ def resolve_residual(g: DataFrame) -> DataFrame:
     others are routed.
     """
     columns = g.columns
-    g = cut(unresolved_components(g))
-    while not g.where("comp IS NOT NULL").isEmpty():
+    unresolved = F.count_if(F.col("comp").isNotNull())
+    g, left = cut(unresolved_components(g), cells=unresolved)
+    while left["cells"]:
         cells, picks = component_exit(g)
-        ready = cut(picks.join(_waiting(picks), ["raster_id", "catch"], "left_anti"))
-        if ready.isEmpty():
+        ready, found = cut(picks.join(_waiting(picks), ["raster_id", "catch"], "left_anti"), n=F.count("*"))
+        if not found["n"]:
             break
         done = _apply(g, route_components(cells, ready))
-        g = cut(done.withColumn("comp", F.when(F.col("direction") < 0, F.col("comp"))))
+        g, left = cut(done.withColumn("comp", F.when(F.col("direction") < 0, F.col("comp"))), cells=unresolved)
     return g.select(*columns)
 
 

@@ -66,8 +66,19 @@ def lookup_by_tile(g: DataFrame, stats: DataFrame, key: str, side: int) -> DataF
     return tiled.join(pairs, [*TILE_KEYS, key], "left").drop("trow", "tcol")
 
 
-def lookup_salted(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 64) -> DataFrame:
-    """Left-join on keys that may be hot, spreading each key over ``salts`` groups."""
+# A table counted below this cannot hold a key too hot for one task.
+PLAIN_JOIN_ROWS = 1_000_000
+
+
+def lookup_salted(
+    big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 64, rows: int | None = None
+) -> DataFrame:
+    """Left-join on keys that may be hot, spreading each key over ``salts`` groups.
+
+    ``rows`` is the counted size of ``big``, if known; few rows need no salt.
+    """
+    if rows is not None and rows <= PLAIN_JOIN_ROWS:
+        return big.join(small, keys, "left")
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     pairs = salted.select(*keys, "_salt").distinct().join(small, keys)
     return salted.join(pairs, [*keys, "_salt"], "left").drop("_salt")

@@ -133,3 +133,10 @@ def test_quantile_by_buckets(spark):
     table = spark.createDataFrame([("a", float(x)) for x in values], "raster_id string, x double")
     got = exact_quantile(table, "x", 0.95, "q", max_distinct=20).first()["q"]
     assert abs(got - np.percentile(values, 95)) < 1e-9
+
+
+def test_only_the_last_of_each_loop_waits(spark):
+    # 1 <-> 2 with a descending tail, a loop of four, and a chain that leaves.
+    to = {1: 2, 2: 1, 3: 1, 9: 8, 8: 7, 7: 6, 6: 5, 5: 4, 4: 3, 20: 23, 23: 21, 21: 22, 22: 20, 40: 39, 39: 38, 38: 37, 37: 36, 36: None}
+    picks = spark.createDataFrame([("a", k, v) for k, v in to.items()], "raster_id string, catch long, nxt long")
+    assert {r["catch"] for r in routing._waiting(picks).collect()} == {2, 23}
