@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -9,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import oracles
 from hydrospark.config import (
     ChannelExtractConfig, FlowDirectionConfig, PipelineConfig, PreprocessConfig,

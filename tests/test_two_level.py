@@ -8,7 +8,7 @@ from conftest import grid_of
 from pyspark.sql import functions as F
 
 from hydrospark.functions.quantiles import exact_quantile
-from hydrospark.operators import components, flooding, flowgraph, geodesic, routing
+from hydrospark.operators import components, flooding, flowgraph, focal, geodesic, regions, routing
 from hydrospark.schema import D8_STEPS
 
 H, W = 33, 27
@@ -140,3 +140,44 @@ def test_only_the_last_of_each_loop_waits(spark):
     to = {1: 2, 2: 1, 3: 1, 9: 8, 8: 7, 7: 6, 6: 5, 5: 4, 4: 3, 20: 23, 23: 21, 21: 22, 22: 20, 40: 39, 39: 38, 38: 37, 37: 36, 36: None}
     picks = spark.createDataFrame([("a", k, v) for k, v in to.items()], "raster_id string, catch long, nxt long")
     assert {r["catch"] for r in routing._waiting(picks).collect()} == {2, 23}
+
+
+def pieces(inside, same):
+    """First cell of every 8-connected piece of ``inside`` along ``same``."""
+    first = {}
+    for start in sorted(inside):
+        stack = [] if start in first else [start]
+        while stack:
+            at = stack.pop()
+            if at not in first:
+                first[at] = start
+                stack += [n for _, n in around(*at) if n in inside and same(at, n)]
+    return first
+
+
+def test_segments_are_assigned_by_distance_and_strength(cells, tiles):
+    tiles(8)
+    rng = np.random.default_rng(6)
+    h = np.kron(rng.integers(0, 4, (H // 3, W // 3)), np.ones((3, 3), dtype=int))
+    everything = {(r, c) for r in range(H) for c in range(W)}
+    region = pieces(everything, lambda a, b: h[a] == h[b])
+    drop = {a: max([h[a] - h[n] for _, n in around(*a)] + [0]) for a in everything}
+    seg = pieces({a for a in everything if drop[a] > 0}, lambda a, b: region[a] == region[b])
+    strength = {}
+    for s in set(seg.values()):
+        held = [drop[a] for a in seg if seg[a] == s]
+        strength[s] = np.mean(held) + 0.35 * np.log1p(len(held))
+    heap = [(round(-1.5 * strength[s], 6), s, 0, a) for a, s in seg.items()]
+    heapq.heapify(heap)
+    want = {}
+    while heap:
+        cost, s, dist, a = heapq.heappop(heap)
+        if a not in want:
+            want[a] = (s, dist)
+            for _, n in around(*a):
+                if region[n] == region[a]:
+                    heapq.heappush(heap, (round(cost + 1, 6), s, dist + 1, n))
+    labelled = components.flat_regions(cells(height=h))
+    placed = regions.assign_segments(focal.outlet_drop(labelled)).where("seg_of IS NOT NULL")
+    got = {(r["row"], r["col"]): ((r["seg_of"] >> 32, r["seg_of"] & 0xFFFFFFFF), r["dist"]) for r in placed.collect()}
+    assert got == want
