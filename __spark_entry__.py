@@ -25,6 +25,12 @@ from hydrospark.sources import stages
 from hydrospark.sources import table_rasters as tr
 from hydrospark.sources.rasters import as_mask
 
+try:
+    import corpus_pipeline
+    from hydrospark.llm import queries as text_queries
+except ImportError:  # the text operators are a part of their own
+    corpus_pipeline = text_queries = None
+
 TESTDATA = Path("/root/testdata")
 THRESHOLD = 20
 # Tiles small enough that the two-level solvers have tile borders to cross on test data.
@@ -336,12 +342,20 @@ def queries() -> dict[str, Query]:
         "write_stage": write_stage,
         "stage_resume": stage_resume,
     }
-    return {name: _local(run) for name, run in found.items()}
+    found = {name: _local(run) for name, run in found.items()}
+    if text_queries:
+        found |= text_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query, where SQL can express it on whole tables."""
-    return dict(oracles.ORACLES)
+    found = dict(oracles.ORACLES)
+    if text_queries:
+        found |= text_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
