@@ -13,6 +13,7 @@ hash space drops most sets before their full shingles are ever moved.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -31,6 +32,8 @@ from hydrospark.scratch import cut
 SLICE = 0.3
 #: Group keys per set: sets with an equal least hash under any of them are compared first.
 GROUP_KEYS = 3
+#: Ratio between the sizes of neighbouring classes of sets.
+CLASS_STEP = 1.02
 
 _HEADS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
 _SETS = pa.schema([*_HEADS, ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
@@ -152,24 +155,41 @@ def _leader_links(core: DataFrame, threshold: int) -> DataFrame:
     return met.where(_size_fits(threshold)).where(_similar(threshold)).select("rep", "q_rep")
 
 
+def _size_class(n: F.Column) -> F.Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_STEP))
+
+
 def _opened(core: DataFrame, threshold: int) -> DataFrame:
-    """(query, group) pairs whose overlap bound reaches the threshold; core has rep, n, tokens, grp."""
+    """(query, group) pairs whose overlap bound reaches the threshold; core has rep, n, tokens, grp.
+
+    A query meets partners of its size or larger.  Sets of sizes q <= s within the threshold
+    share ``t / (100 + t) * (q + s)`` shingles; in one common order of shingles (in few groups
+    first) the shares' least one then lies among the first ``q - shared + 1`` of the query's and
+    the first ``s - shared + 1`` of the partner's.  Only those enter the matrix, by classes of
+    the query's size, so that copies of one text meet only where they differ little.
+    """
+    share = threshold / (100 + threshold)
+    shared_least = lambda q, s: F.ceil((q + s) * share - 1e-9)
     spread = core.select("rep", "n", "grp", F.explode("tokens").alias("token"))
-    matrix = cut(spread.select("token", "grp").distinct())
-    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    near = cut(spread.join(shared, "token"))
-    need = _least_shared(F.col("n"), threshold)
-    # Any n - need + 1 shingles of a query hold one of each partner's; take those in the fewest
-    # groups.  The ones in its own group alone come first and lead nowhere.
+    groups = spread.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    near = cut(spread.join(groups, "token"))
+    matrix = near.select("token", "grp").distinct()
+    # Shingles in their own group alone come first in the order and lead nowhere.
     own = near.groupBy("rep").agg(F.count("*").alias("outside"))
-    ranked = near.join(own, "rep").where(F.col("outside") >= need).withColumn(
-        "place", F.row_number().over(W.partitionBy("rep").orderBy("groups", "token")))
-    probes = ranked.where(F.col("place") + F.col("n") - F.col("outside") <= F.col("n") - need + 1)
-    sizes = core.groupBy("grp").agg(F.max("n").alias("most"))
-    met = probes.select("rep", "n", F.col("grp").alias("q_grp"), "token").join(matrix, "token").where("grp <> q_grp")
-    met = met.select("rep", "n", "grp").distinct().join(sizes, "grp").where("most >= n")
+    placed = near.join(own, "rep").withColumn("place", F.col("n") - F.col("outside") + F.row_number().over(
+        W.partitionBy("rep").orderBy("groups", "token"))).where(F.col("place") <= F.col("n") - _least_shared(F.col("n"), threshold) + 1)
+    placed = cut(placed.select("rep", "n", "grp", "token", "place"))
+    least = _least_shared(F.col("n"), threshold)
+    classes = placed.withColumn("size_class", F.explode(F.sequence(_size_class(least), _size_class(F.col("n")))))
+    smallest = F.greatest(F.floor(F.pow(F.lit(CLASS_STEP), F.col("size_class")) - 1e-6), least)
+    partners = classes.where(F.col("place") <= F.col("n") - shared_least(smallest, F.col("n")) + 1).select(
+        "token", "size_class", "grp").distinct()
+    probes = placed.where(F.col("place") <= F.col("n") - shared_least(F.col("n"), F.col("n")) + 1).select(
+        "rep", "n", F.col("grp").alias("q_grp"), "token", _size_class(F.col("n")).alias("size_class"))
+    met = probes.join(partners, ["token", "size_class"]).where("grp <> q_grp").select("rep", "n", "grp").distinct()
     bound = met.select("rep", "grp").join(near.select("rep", "n", "token"), "rep").join(matrix, ["token", "grp"])
-    return bound.groupBy("rep", "grp", "n").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= need).select("rep", "grp")
+    return bound.groupBy("rep", "grp", "n").agg(F.count("*").alias("overlap")).where(
+        F.col("overlap") >= _least_shared(F.col("n"), threshold)).select("rep", "grp")
 
 
 def _opened_links(core: DataFrame, opened: DataFrame, threshold: int) -> DataFrame:
