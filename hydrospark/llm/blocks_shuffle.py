@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from hydrospark.llm.words import mix, run_starts
+
 SCHEMA = "bucket int, block binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
@@ -61,3 +63,13 @@ def gather(batches: Iterator[pa.RecordBatch], owners: list, fields) -> Iterator[
         parts = [unpack(b, owners, kinds) for b in held.pop(bucket)]
         yield ([np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True)],
                [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)])
+
+
+def pack_by_key(keys: np.ndarray, fields: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Blocks that bring records of one key (a 64-bit number) together again."""
+    order = np.argsort(keys, kind="stable")
+    keys, fields = keys[order], [f[order] for f in fields]
+    heads = run_starts(keys)
+    owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+    home = mix(keys.view(np.uint64)) % np.uint64(buckets)
+    return pack(home.astype(np.int32), owner, [keys[heads]], fields)

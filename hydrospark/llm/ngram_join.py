@@ -111,8 +111,8 @@ def _send_sets(batches, buckets: int):
         yield _pack_tokens(text, tokens, first, fp1, 1.0, buckets)
 
 
-def _count_alone(batches):
-    """Per set, how many of the bucket's shingles no other set has."""
+def _count_alone(batches, buckets: int):
+    """Per set, how many of a bucket's shingles no other set has; in blocks by set."""
     for (fp, n), (tokens,) in packed.gather(batches, [np.uint64, np.uint32], [np.uint64]):
         order = np.lexsort((fp, tokens))
         fp, n, tokens = fp[order], n[order], tokens[order]
@@ -121,14 +121,24 @@ def _count_alone(batches):
         heads = run_starts(tokens)
         single = heads[np.diff(np.append(heads, len(tokens))) == 1]
         sets, at, alone = np.unique(fp[single], return_index=True, return_counts=True)
-        yield batch(_ALONE, as_long(sets), n[single][at].astype(np.int64), alone)
+        yield packed.pack_by_key(sets, [n[single][at], alone.astype(np.uint32)], buckets)
 
 
-def _without_partners(sent: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """Fingerprints of sets with too many shingles of their own to reach the threshold."""
-    counted = arrow_map(sent.repartition(parts, "bucket"), _count_alone, "fp1 long, n long, alone long")
-    return counted.groupBy("fp1", "n").agg(F.sum("alone").alias("alone")).where(
-        F.col("n") - F.col("alone") < _least_shared(F.col("n"), threshold)).select("fp1", "n")
+def _sum_alone(batches, threshold: int, every: bool):
+    """Sets with shingles of their own; without ``every``, only those that can't reach the threshold."""
+    for (fp,), (n, alone) in packed.gather(batches, [np.uint64], [np.uint32, np.uint32]):
+        order = np.lexsort((n, fp))
+        fp, n, alone = fp[order], n[order].astype(np.int64), alone[order].astype(np.int64)
+        heads = run_starts(fp, n)
+        fp, n, alone = fp[heads], n[heads], np.add.reduceat(alone, heads) if len(heads) else alone
+        keep = every | (100 * (n - alone) < threshold * n)
+        yield batch(_ALONE, as_long(fp[keep]), n[keep], alone[keep])
+
+
+def _shingles_alone(sent: DataFrame, parts: int, threshold: int, every: bool = False) -> DataFrame:
+    """``fp1, n, alone``: sets by how many of the shingles sent no other set has."""
+    counted = arrow_map(sent.repartition(parts, "bucket"), partial(_count_alone, buckets=2 * parts), packed.SCHEMA)
+    return arrow_map(counted.repartition(parts, "bucket"), partial(_sum_alone, threshold=threshold, every=every), "fp1 long, n long, alone long")
 
 
 def _least_shared(n: F.Column, threshold: int) -> F.Column:
@@ -146,9 +156,13 @@ def _size_fits(threshold: int) -> F.Column:
 
 
 def _leader_links(core: DataFrame, threshold: int) -> DataFrame:
-    """Verified links of each set to the least set sharing one of its group keys."""
-    keyed = core.select("rep", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("q_rep"), F.count("*").alias("members")).where("members > 1")
+    """Verified links of each set to the leader among those sharing one of its group keys.
+
+    The set with the fewest shingles of its own leads: of a text and its altered copies, the text.
+    """
+    keyed = core.select("rep", "alone", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("alone", "rep")).alias("lead"), F.count("*").alias("members"))
+    leaders = leaders.where("members > 1").select("key", F.col("lead.rep").alias("q_rep"))
     pairs = keyed.join(leaders, "key").where("rep <> q_rep").select("rep", "q_rep").distinct()
     led = core.select(F.col("rep").alias("q_rep"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
     met = pairs.join(core.select("rep", "n", "tokens"), "rep").join(led, "q_rep")
@@ -219,7 +233,7 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int =
 
     share = SLICE if SLICE * 100 > 100 - threshold else 1.0
     sent = arrow_map(docs, partial(_send_texts, size=shingle, share=share, buckets=2 * parts), packed.SCHEMA)
-    hopeless = cut(_without_partners(sent, parts, threshold))
+    hopeless = cut(_shingles_alone(sent, parts, threshold).select("fp1", "n"))
     hopeful = reps.join(hopeless, ["fp1", "n"], "left_anti").select(F.col("rep").alias("doc_id")).distinct()
     whole = arrow_map(
         docs.join(hopeful, "doc_id", "left_semi"), partial(_sets, size=shingle),
@@ -227,13 +241,15 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int =
     sets = cut(whole.dropDuplicates(["n", "fp1", "fp2"]).withColumnRenamed("doc_id", "rep"))
 
     sent = arrow_map(sets.select("fp1", "tokens"), partial(_send_sets, buckets=2 * parts), packed.SCHEMA)
-    hopeless = _without_partners(sent, parts, threshold)
-    core = cut(sets.join(hopeless, ["fp1", "n"], "left_anti").select("rep", "n", "tokens", "keys"))
+    alone = _shingles_alone(sent, parts, threshold, every=True)
+    core = cut(sets.join(alone, ["fp1", "n"], "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(
+        F.col("n") - F.col("alone") >= _least_shared(F.col("n"), threshold)).select("rep", "n", "alone", "tokens", "keys"))
 
     led = cut(_leader_links(core, threshold))
-    leader = led.groupBy("rep").agg(F.min("q_rep").alias("q_rep"))
-    grouped = cut(core.join(leader, "rep", "left").select(
-        "rep", "n", "tokens", F.least("rep", F.coalesce("q_rep", "rep")).alias("grp")))
+    # A set joins the group of one leader; leaders without one of their own stay in theirs.
+    leader = led.groupBy("rep").agg(F.min("q_rep").alias("q_rep")).join(
+        led.select(F.col("q_rep").alias("rep")).distinct(), "rep", "left_anti")
+    grouped = cut(core.join(leader, "rep", "left").select("rep", "n", "tokens", F.coalesce("q_rep", "rep").alias("grp")))
     opened = _opened(grouped, threshold)
     found = components(led.unionByName(_opened_links(grouped, opened, threshold)), "rep", "q_rep")
 

@@ -225,9 +225,9 @@ def _send_places(batches, totals):
                 yield packed.pack(home[pick], text[pick], [ids[low:high], held[low:high]], [word[pick], context[pick]])
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("ends", pa.int32()), ("n", pa.int32()), ("known", pa.int32()),
+_PART = pa.schema([("doc_id", pa.int64()), ("ends", pa.int64()), ("n", pa.int64()), ("known", pa.int64()),
                    ("base", pa.float64()), ("score", pa.float64())])
-PART = "doc_id long, ends int, n int, known int, base double, score double"
+PART = "doc_id long, ends long, n long, known long, base double, score double"
 
 
 def _score_places(batches, totals, samples: int):
@@ -269,7 +269,15 @@ def _score_places(batches, totals, samples: int):
         out.append(_by_doc(doc, ends, np.ones(len(doc)), known, plain, score))
     if out:
         doc, *columns = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield batch(_PART, *_typed(_by_doc(doc, *columns)))
+        doc, ends, n, known, plain, score = _by_doc(doc, *columns)
+        yield packed.pack_by_key(doc, [ends.astype(np.uint32), n.astype(np.uint32), known.astype(np.uint32), plain, score], 2 * parts)
+
+
+def _sum_parts(batches):
+    """One row per document from its parts."""
+    for (doc,), fields in packed.gather(batches, [np.int64], [np.uint32, np.uint32, np.uint32, np.float64, np.float64]):
+        doc, *sums = _by_doc(doc, *fields)
+        yield batch(_PART, doc, *[c.astype(np.int64) for c in sums[:3]], *sums[3:])
 
 
 def _by_doc(doc, *columns):
@@ -278,11 +286,6 @@ def _by_doc(doc, *columns):
     return doc[order][heads], *[np.add.reduceat(c[order].astype(np.float64), heads) for c in columns]
 
 
-def _typed(columns):
-    doc, ends, n, known, base, score = columns
-    return doc, ends.astype(np.int32), n.astype(np.int32), known.astype(np.int32), base, score
-
-
 def _learn(training: DataFrame, parts: int, contexts: int) -> Totals:
     """Frequent words, then one sweep over all training counts for the restaurants' totals."""
     context = training.sparkSession.sparkContext
@@ -348,8 +351,8 @@ def score_texts(docs: DataFrame, modulus: int, remainder: int, contexts: int = C
     totals = _learn(docs.where("NOT held_out"), parts, contexts)
     shared = session.sparkContext.broadcast(totals)
     sent = arrow_map(docs, partial(_send_places, totals=shared), packed.SCHEMA)
-    scored = arrow_map(sent.repartition(parts, "bucket"), partial(_score_places, totals=shared, samples=samples), PART)
-    sums = scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("ends", "n", "known", "base", "score")])
+    scored = arrow_map(sent.repartition(parts, "bucket"), partial(_score_places, totals=shared, samples=samples), packed.SCHEMA)
+    sums = arrow_map(scored.repartition(parts, "bucket"), _sum_parts, PART)
     sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "ends")))
     doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return sums.select(doc_id.alias("doc_id"), "ends", "n", "known", "base", "score").select(

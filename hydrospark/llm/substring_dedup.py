@@ -117,17 +117,21 @@ def _send_minimizers(batches, window: int, gram: int, buckets: int):
             yield packed.pack((least % np.uint64(buckets)).astype(np.int32), text, [ids[low:high]], [least])
 
 
-def _by_owner(owner: np.ndarray, values: np.ndarray):
-    """One row per owner with its values as bytes."""
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    heads = run_starts(owner)
-    ends = np.append(heads[1:], len(owner))
-    return batch(_HELD, owner[heads], [values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
+def _collect(batches, kind):
+    """One row per document with all its values as bytes, from blocks by document."""
+    for (owner,), (values,) in packed.gather(batches, [np.int64], [kind]):
+        order = np.argsort(owner, kind="stable")
+        owner, values = owner[order], values[order]
+        heads = run_starts(owner)
+        ends = np.append(heads[1:], len(owner))
+        yield batch(_HELD, owner[heads], [values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
 
 
-def _shared_minimizers(batches):
-    owners, values = [], []
+def _by_doc(sent: DataFrame, kind, parts: int) -> DataFrame:
+    return arrow_map(sent.repartition(parts, "bucket"), partial(_collect, kind=kind), HELD)
+
+
+def _shared_minimizers(batches, buckets: int):
     for (doc,), (least,) in packed.gather(batches, [np.int64], [np.uint64]):
         order = np.lexsort((doc, least))
         doc, least = doc[order], least[order]
@@ -136,10 +140,7 @@ def _shared_minimizers(batches):
         heads = run_starts(least)
         many = np.diff(np.append(heads, len(least)))
         shared = np.repeat(many > 1, many)
-        owners.append(doc[shared])
-        values.append(least[shared])
-    if owners:
-        yield _by_owner(np.concatenate(owners), np.concatenate(values))
+        yield packed.pack_by_key(doc[shared], [least[shared]], buckets)
 
 
 def _candidates(rows, window: int, gram: int):
@@ -153,7 +154,7 @@ def _candidates(rows, window: int, gram: int):
         keep = np.zeros(len(at), bool)
         first = np.searchsorted(text, np.arange(high - low + 1))
         for d in range(high - low):
-            shared = np.sort(np.frombuffer(b"".join(held[low + d]), np.uint64))
+            shared = np.sort(np.frombuffer(held[low + d], np.uint64))
             part = least[first[d]:first[d + 1]]
             keep[first[d]:first[d + 1]] = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part
         yield ids[low:high], words, at[keep], text[keep]
@@ -200,7 +201,7 @@ def _frequent_places(batches, window: int, gram: int, often):
             yield batch(schema, prefix[heads].view(np.int64), doc[heads])
 
 
-def _frequent_repeats(batches, window: int, gram: int, leaders):
+def _frequent_repeats(batches, window: int, gram: int, buckets: int, leaders):
     """Places of frequent windows in documents after the first one."""
     known, first = leaders.value
     for rows in batches:
@@ -208,13 +209,11 @@ def _frequent_repeats(batches, window: int, gram: int, leaders):
             prefix = _prefixes(_edges(words, at, window))[2]
             slot = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
             hit = (known[slot] == prefix) & (ids[text] > first[slot])
-            if hit.any():
-                yield _by_owner(ids[text[hit]], (at - words.first[text])[hit].astype(np.uint32))
+            yield packed.pack_by_key(ids[text[hit]], [(at - words.first[text])[hit].astype(np.uint32)], buckets)
 
 
-def _deep_nodes(batches):
+def _deep_nodes(batches, buckets: int):
     """Places under nodes at least a window deep, in documents after the node's first one."""
-    owners, values = [], []
     for (doc,), (at, a, b, c) in packed.gather(batches, [np.int64], [np.uint32, np.uint64, np.uint64, np.uint64]):
         order = np.lexsort((doc, c, b, a))
         doc, at, a, b, c = doc[order], at[order], a[order], b[order], c[order]
@@ -224,10 +223,7 @@ def _deep_nodes(batches):
         heads = np.flatnonzero(common < 3)
         first = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
         later = doc > first
-        owners.append(doc[later])
-        values.append(at[later])
-    if owners:
-        yield _by_owner(np.concatenate(owners), np.concatenate(values))
+        yield packed.pack_by_key(doc[later], [at[later]], buckets)
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -244,7 +240,7 @@ def _rewrite(batches, window: int, with_text: bool):
         total, removed, shas, kept = [], [], [], []
         for text, places in zip(texts, held, strict=True):
             words = (text or "").encode().split()
-            gone = covered(len(words), np.frombuffer(b"".join(places), np.uint32).astype(np.int64), window)
+            gone = covered(len(words), np.frombuffer(places, np.uint32).astype(np.int64), window)
             left = b" ".join(compress(words, ~gone))
             total.append(len(words))
             removed.append(int(gone.sum()))
@@ -253,10 +249,6 @@ def _rewrite(batches, window: int, with_text: bool):
         yield batch(_KEPT, rows.column("doc_id"), total, removed, shas, kept)
 
 
-def _held_by_doc(held: DataFrame) -> DataFrame:
-    return held.where("doc_id >= 0").groupBy("doc_id").agg(F.collect_list("held").alias("held"))
-
-
 def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """Remove every word that lies in a passage already begun in an earlier document.
 
@@ -281,17 +273,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, gr
     frequent = context.broadcast(often)
 
     sent = arrow_map(docs.where("doc_id >= 0"), partial(_send_minimizers, window=window, gram=gram, buckets=2 * parts), packed.SCHEMA)
-    shared = arrow_map(sent.repartition(parts, "bucket"), _shared_minimizers, HELD)
-    shared = cut(_held_by_doc(shared))
+    shared = arrow_map(sent.repartition(parts, "bucket"), partial(_shared_minimizers, buckets=2 * parts), packed.SCHEMA)
+    shared = cut(_by_doc(shared, np.uint64, parts))
     marked = docs.join(shared, "doc_id")
     groups = arrow_map(marked, partial(_send_suffixes, window=window, gram=gram, buckets=2 * parts, frequent=frequent), packed.SCHEMA)
-    repeats = arrow_map(groups.repartition(parts, "bucket"), _deep_nodes, HELD)
+    repeats = arrow_map(groups.repartition(parts, "bucket"), partial(_deep_nodes, buckets=2 * parts), packed.SCHEMA)
     if len(often[2]):
         seen = arrow_map(marked, partial(_frequent_places, window=window, gram=gram, often=frequent), "prefix long, doc_id long")
         first = sorted((r.prefix % 2**64, r.doc_id) for r in seen.groupBy("prefix").agg(F.min("doc_id").alias("doc_id")).collect())
         leaders = context.broadcast((np.array([p for p, _ in first], np.uint64), np.array([d for _, d in first], np.int64)))
-        repeats = repeats.unionByName(arrow_map(marked, partial(_frequent_repeats, window=window, gram=gram, leaders=leaders), HELD)) if first else repeats
-    repeats = cut(_held_by_doc(repeats))
+        repeats = repeats.unionByName(arrow_map(
+            marked, partial(_frequent_repeats, window=window, gram=gram, buckets=2 * parts, leaders=leaders), packed.SCHEMA)) if first else repeats
+    repeats = cut(_by_doc(repeats, np.uint32, parts))
 
     changed = arrow_map(docs.join(repeats, "doc_id"), partial(_rewrite, window=window, with_text=with_text), KEPT)
     plain = survey.where("level IS NULL").join(repeats, "doc_id", "left_anti").select(
