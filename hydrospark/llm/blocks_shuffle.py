@@ -52,15 +52,10 @@ def unpack(block, owners: list, fields: list) -> tuple[list[np.ndarray], list[np
     return who, what
 
 
-def gather(batches: Iterator[pa.RecordBatch], owners: list, fields) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """Records of one partition, bucket by bucket; ``fields`` may be a function of the bucket."""
-    held: dict[int, list] = {}
-    for rows in batches:
-        for bucket, block in zip(rows.column("bucket").to_pylist(), rows.column("block"), strict=True):
-            held.setdefault(bucket, []).append(block.as_buffer())
-    for bucket in list(held):
-        kinds = fields(bucket) if callable(fields) else fields
-        parts = [unpack(b, owners, kinds) for b in held.pop(bucket)]
+def gather(batches: Iterator[pa.RecordBatch], owners: list, fields: list) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """All records of one partition at once; nothing for an empty partition."""
+    parts = [unpack(block.as_buffer(), owners, fields) for rows in batches for block in rows.column("block")]
+    if parts:
         yield ([np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True)],
                [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)])
 

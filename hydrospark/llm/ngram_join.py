@@ -112,7 +112,7 @@ def _send_sets(batches, buckets: int):
 
 
 def _count_alone(batches, buckets: int):
-    """Per set, how many of a bucket's shingles no other set has; in blocks by set."""
+    """Per set, how many of a partition's shingles no other set has; in blocks by set."""
     for (fp, n), (tokens,) in packed.gather(batches, [np.uint64, np.uint32], [np.uint64]):
         order = np.lexsort((fp, tokens))
         fp, n, tokens = fp[order], n[order], tokens[order]
@@ -137,7 +137,7 @@ def _sum_alone(batches, threshold: int, every: bool):
 
 def _shingles_alone(sent: DataFrame, parts: int, threshold: int, every: bool = False) -> DataFrame:
     """``fp1, n, alone``: sets by how many of the shingles sent no other set has."""
-    counted = arrow_map(sent.repartition(parts, "bucket"), partial(_count_alone, buckets=2 * parts), packed.SCHEMA)
+    counted = arrow_map(sent.repartition(parts, "bucket"), partial(_count_alone, buckets=parts), packed.SCHEMA)
     return arrow_map(counted.repartition(parts, "bucket"), partial(_sum_alone, threshold=threshold, every=every), "fp1 long, n long, alone long")
 
 
@@ -197,13 +197,17 @@ def _opened(core: DataFrame, threshold: int) -> DataFrame:
     classes = placed.withColumn("size_class", F.explode(F.sequence(_size_class(least), _size_class(F.col("n")))))
     smallest = F.greatest(F.floor(F.pow(F.lit(CLASS_STEP), F.col("size_class")) - 1e-6), least)
     partners = classes.where(F.col("place") <= F.col("n") - shared_least(smallest, F.col("n")) + 1).select(
-        "token", "size_class", "grp").distinct()
+        "token", "size_class", "grp", F.col("n").alias("s"), F.col("place").alias("s_place")).distinct()
     probes = placed.where(F.col("place") <= F.col("n") - shared_least(F.col("n"), F.col("n")) + 1).select(
-        "rep", "n", F.col("grp").alias("q_grp"), "token", _size_class(F.col("n")).alias("size_class"))
-    met = probes.join(partners, ["token", "size_class"]).where("grp <> q_grp").select("rep", "n", "grp").distinct()
-    bound = met.select("rep", "grp").join(near.select("rep", "n", "token"), "rep").join(matrix, ["token", "grp"])
-    return bound.groupBy("rep", "grp", "n").agg(F.count("*").alias("overlap")).where(
-        F.col("overlap") >= _least_shared(F.col("n"), threshold)).select("rep", "grp")
+        "rep", "n", "place", F.col("grp").alias("q_grp"), "token", _size_class(F.col("n")).alias("size_class"))
+    # Within a class of sizes the two sizes at hand decide.
+    left = shared_least(F.col("n"), F.col("s")) - 1
+    fits = (F.col("s") >= F.col("n")) & (F.col("place") + left <= F.col("n")) & (F.col("s_place") + left <= F.col("s"))
+    met = probes.join(partners, ["token", "size_class"]).where((F.col("grp") != F.col("q_grp")) & fits)
+    met = met.groupBy("rep", "grp").agg(F.min("s").alias("s"))
+    bound = met.join(near.select("rep", "n", "token"), "rep").join(matrix, ["token", "grp"])
+    return bound.groupBy("rep", "grp", "n", "s").agg(F.count("*").alias("overlap")).where(
+        F.col("overlap") >= shared_least(F.col("n"), F.col("s"))).select("rep", "grp")
 
 
 def _opened_links(core: DataFrame, opened: DataFrame, threshold: int) -> DataFrame:

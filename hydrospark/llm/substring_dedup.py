@@ -273,17 +273,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, gr
     frequent = context.broadcast(often)
 
     sent = arrow_map(docs.where("doc_id >= 0"), partial(_send_minimizers, window=window, gram=gram, buckets=2 * parts), packed.SCHEMA)
-    shared = arrow_map(sent.repartition(parts, "bucket"), partial(_shared_minimizers, buckets=2 * parts), packed.SCHEMA)
+    shared = arrow_map(sent.repartition(parts, "bucket"), partial(_shared_minimizers, buckets=parts), packed.SCHEMA)
     shared = cut(_by_doc(shared, np.uint64, parts))
     marked = docs.join(shared, "doc_id")
     groups = arrow_map(marked, partial(_send_suffixes, window=window, gram=gram, buckets=2 * parts, frequent=frequent), packed.SCHEMA)
-    repeats = arrow_map(groups.repartition(parts, "bucket"), partial(_deep_nodes, buckets=2 * parts), packed.SCHEMA)
+    repeats = arrow_map(groups.repartition(parts, "bucket"), partial(_deep_nodes, buckets=parts), packed.SCHEMA)
     if len(often[2]):
         seen = arrow_map(marked, partial(_frequent_places, window=window, gram=gram, often=frequent), "prefix long, doc_id long")
         first = sorted((r.prefix % 2**64, r.doc_id) for r in seen.groupBy("prefix").agg(F.min("doc_id").alias("doc_id")).collect())
         leaders = context.broadcast((np.array([p for p, _ in first], np.uint64), np.array([d for _, d in first], np.int64)))
         repeats = repeats.unionByName(arrow_map(
-            marked, partial(_frequent_repeats, window=window, gram=gram, buckets=2 * parts, leaders=leaders), packed.SCHEMA)) if first else repeats
+            marked, partial(_frequent_repeats, window=window, gram=gram, buckets=parts, leaders=leaders), packed.SCHEMA)) if first else repeats
     repeats = cut(_by_doc(repeats, np.uint32, parts))
 
     changed = arrow_map(docs.join(repeats, "doc_id"), partial(_rewrite, window=window, with_text=with_text), KEPT)
