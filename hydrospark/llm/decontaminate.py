@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.common import arrow_map, batch, blocks, keep_texts, text_bytes
-from hydrospark.llm.words import GRAM_FACTORS, mix
+from hydrospark.llm.words import GRAM_FACTORS, mix, run_starts
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -126,21 +126,35 @@ def find_regions(index: Index, points: np.ndarray, bounds: np.ndarray, q: int =
     band = (at - place) // width
     # A hit counts in the band it begins and in the one before, which overlaps it.
     both = np.concatenate([band, band - 1]) + (1 << 30)
-    key, count = np.unique((np.concatenate([item, item]).astype(np.int64) << 32) | both, return_counts=True)
-    retained = np.flatnonzero(count >= index.least[key >> 32])
+    key = (np.concatenate([item, item]).astype(np.int64) << 32) | both
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = run_starts(key)
+    count = np.diff(np.append(heads, len(key)))
+    retained = np.flatnonzero(count >= index.least[key[heads] >> 32])
     found: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-    for k in key[retained]:
+    for r in retained:
+        k = key[heads[r]]
         i, b = int(k >> 32), int(k & 0xFFFFFFFF) - (1 << 30)
+        hits = order[heads[r]:heads[r] + count[r]] % len(at)
+        # The bound holds for distinct q-grams of the item and for distinct places in the text.
+        if min(len(np.unique(place[hits])), len(np.unique(at[hits]))) < index.least[i]:
+            continue
         item_id, pattern = index.items[i]
         wide, most = max(int(index.edits[i]), 1), int(index.edits[i])
         low, high = b * wide - most, b * wide + 2 * wide + len(pattern) + most
+        diagonals, times = np.unique(at[hits] - place[hits], return_counts=True)
+        straight = int(diagonals[np.argmax(times)])
         for d in range(max(0, int(np.searchsorted(bounds, max(low, 0), "right")) - 1), len(bounds) - 1):
             if bounds[d] >= high:
                 break
             a, z = max(low, int(bounds[d])), min(high, int(bounds[d + 1]))
             if z - a < len(pattern) - most:
                 continue
-            best = align(pattern, points[a:z], most)
+            if a <= straight <= z - len(pattern) and np.array_equal(points[straight:straight + len(pattern)], pattern):
+                best = (0, straight - a, straight - a + len(pattern))
+            else:
+                best = align(pattern, points[a:z], most)
             if best:
                 edits, start, end = best
                 start, end = start + a - int(bounds[d]), end + a - int(bounds[d])
