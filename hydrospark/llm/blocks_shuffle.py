@@ -29,7 +29,7 @@ def pack(bucket: np.ndarray, owner: np.ndarray, owners: list[np.ndarray], fields
     head_bucket, head_owner = bucket[heads], owner[heads]
     cuts = np.flatnonzero(np.append(True, head_bucket[1:] != head_bucket[:-1])) if len(heads) else heads
     out = []
-    for low, high in zip(cuts, np.append(cuts[1:], len(heads)), strict=True):
+    for low, high in zip(cuts, np.append(cuts, len(heads))[1:], strict=True):
         a, b = heads[low], heads[high] if high < len(heads) else len(bucket)
         out.append(b"".join([
             np.uint32(high - low).tobytes(), np.uint32(b - a).tobytes(), sizes[low:high].tobytes(),

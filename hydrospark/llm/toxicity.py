@@ -24,7 +24,7 @@ from hydrospark.scratch import cut
 MOST_LABELLED = 10_000
 MOST_ENTRIES = 500
 PREFIXES = range(4, 9)
-LEAST_TOXIC, LEAST_WEIGHT, LEAST_Z = 5, 1.5, 4.0
+LEAST_TOXIC, LEAST_WEIGHT, LEAST_Z = 5, 1.5, 3.0
 
 # Letters of other scripts that look like Latin ones, and digits and signs written
 # for letters.  "l", "1", "!" and "|" all fold to "i", as each may stand for "i" or "l".
@@ -118,10 +118,10 @@ class Automaton:
         return self._machine
 
     def features(self, folded: str) -> list[float]:
-        """Sum of distinct weights, weights per root of length, greatest weight, log of length."""
+        """Sum of distinct weights; weights per root of length; greatest weight; sum per log of length."""
         words = max(1, folded.count(" ") - 1)
         if not self.lexicon:
-            return [0.0, 0.0, 0.0, math.log(words)]
+            return [0.0, 0.0, 0.0, 0.0]
         hits, excepted = [], []
         for end, (entry, weight) in self.value.iter(folded):
             (excepted if weight is None else hits).append((end - len(entry) + 1, end, entry, weight))
@@ -132,7 +132,8 @@ class Automaton:
             best[start] = max(weight, best.get(start, 0.0))
         distinct = {folded[s:folded.index(" ", s + 1)]: w for s, w in best.items()}
         total = sum(distinct.values())
-        return [total, sum(best.values()) / math.sqrt(words), max(distinct.values(), default=0.0), math.log(words)]
+        return [total, sum(best.values()) / math.sqrt(words), max(distinct.values(), default=0.0),
+                total / (1 + math.log(words))]
 
 
 def _choose(counted: DataFrame, toxic: int, clean: int) -> dict[str, float]:
@@ -173,11 +174,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     """Coefficients, the constant first, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
+    penalty = ridge * np.diag([1e-6, *np.ones(x.shape[1] - 1)])  # none to speak of on the constant
     if not len(y):
         return beta
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
