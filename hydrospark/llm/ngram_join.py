@@ -204,10 +204,13 @@ def _opened(core: DataFrame, threshold: int) -> DataFrame:
     left = shared_least(F.col("n"), F.col("s")) - 1
     fits = (F.col("s") >= F.col("n")) & (F.col("place") + left <= F.col("n")) & (F.col("s_place") + left <= F.col("s"))
     met = probes.join(partners, ["token", "size_class"]).where((F.col("grp") != F.col("q_grp")) & fits)
-    met = met.groupBy("rep", "grp").agg(F.min("s").alias("s"))
-    bound = met.join(near.select("rep", "n", "token"), "rep").join(matrix, ["token", "grp"])
-    return bound.groupBy("rep", "grp", "n", "s").agg(F.count("*").alias("overlap")).where(
-        F.col("overlap") >= shared_least(F.col("n"), F.col("s"))).select("rep", "grp")
+    members = core.groupBy("grp").agg(F.count("*").alias("members"))
+    met = cut(met.groupBy("rep", "grp").agg(F.min("s").alias("s")).join(members, "grp"))
+    # The bound of a group of one is the overlap that opening it computes.
+    bound = met.where("members > 1").join(near.select("rep", "n", "token"), "rep").join(matrix, ["token", "grp"])
+    reached = bound.groupBy("rep", "grp", "n", "s").agg(F.count("*").alias("overlap")).where(
+        F.col("overlap") >= shared_least(F.col("n"), F.col("s")))
+    return met.where("members = 1").select("rep", "grp").unionByName(reached.select("rep", "grp"))
 
 
 def _opened_links(core: DataFrame, opened: DataFrame, threshold: int) -> DataFrame:
