@@ -31,7 +31,6 @@ class PreprocessConfig:
     fill_sink_algorithm: str = "auto"
     max_fill_depth: float | None = None
     deep_basin_mode: str = "mark"
-    fast_fill_min_pixels: int = 8_000_000
     preserve_nodata: bool = True
     nodata_value: float | None = None
     use_auto_mask: bool = False
@@ -51,7 +50,6 @@ class PreprocessConfig:
             self,
             smooth_kernel_size=(1, 15),
             max_fill_depth=(0.0, 255.0),
-            fast_fill_min_pixels=(1, None),
             nodata_value=(0.0, 255.0),
             auto_mask_border_sensitivity=(0.1, 5.0),
             auto_mask_texture_sensitivity=(0.1, 5.0),

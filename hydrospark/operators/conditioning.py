@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ from hydrospark.schema import KEYS
 from hydrospark.scratch import cut
 from hydrospark.tiling import attach
 
-MAX_FILL_ROUNDS = 32  # fixed value
 INVALID_SCORE = 0.58  # fixed value
+MAX_FILL_ROUNDS = 32  # fixed value
 
 
 def _auto_mask_core(g: DataFrame, border_sensitivity: float, texture_sensitivity: float) -> DataFrame:
@@ -44,59 +42,51 @@ def _auto_mask_core(g: DataFrame, border_sensitivity: float, texture_sensitivity
     return filter_components(kept, "auto_mask", False, holes)
 
 
-def auto_mask(g: DataFrame, cfg: PreprocessConfig | None = None) -> DataFrame:
+def auto_mask(g: DataFrame, cfg: PreprocessConfig | None = None, scale: int = 1) -> DataFrame:
     """Adds ``auto_mask``: valid cells that do not look like border background.
 
-    Rasters with a side above the analysis limit are judged on block means.
+    Judged at full resolution, whatever the raster's size; a caller may ask for block means
+    of ``scale`` cells instead.
     """
     cfg = cfg or PreprocessConfig()
     g = cut(g)
-    scales = cut(grid.analysis_scale(g).select("raster_id", "scale"))
-    wanted = [r["scale"] for r in scales.select("scale").distinct().collect()]  # one value per size class
-    parts = []
-    for scale in sorted(wanted):
-        part = attach(g, scales).where(F.col("scale") == scale).drop("scale") if len(wanted) > 1 else g
-        smallest = grid.scale_area(cfg.auto_mask_min_region_size, scale)
-        coarse = grid.block_mean(part, scale).withColumn("min_region", smallest)
-        if scale > 1:
-            coarse = grid.densify(coarse)
-        judged = _auto_mask_core(cut(coarse), cfg.auto_mask_border_sensitivity, cfg.auto_mask_texture_sensitivity)
-        parts.append(grid.upsample_mask(judged.select(*KEYS, "auto_mask"), part, scale, "auto_mask"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    smallest = grid.scale_area(cfg.auto_mask_min_region_size, scale)
+    coarse = grid.block_mean(g, scale).withColumn("min_region", smallest)
+    if scale > 1:
+        coarse = grid.densify(coarse)
+    judged = _auto_mask_core(cut(coarse), cfg.auto_mask_border_sensitivity, cfg.auto_mask_texture_sensitivity)
+    out = grid.upsample_mask(judged.select(*KEYS, "auto_mask"), g, scale, "auto_mask")
     return out.withColumn("auto_mask", F.coalesce("auto_mask", F.lit(False)) & F.col("valid"))
 
 
-def fill_sinks_iterative(g: DataFrame, max_iterations: int = MAX_FILL_ROUNDS) -> tuple[DataFrame, int]:
+def fill_sinks_iterative(g: DataFrame, max_iterations: int | None = MAX_FILL_ROUNDS) -> tuple[DataFrame, int, bool]:
     """Alternate the local sink lift and the closed-flat repair until nothing changes.
 
-    Returns the cells and the number of rounds that changed something.
+    Returns the cells, the number of rounds that changed something, and whether it finished:
+    it may stop before, after ``max_iterations`` rounds (None: never).
     """
     columns, used = g.columns, 0
     g = cut(g)
-    for _ in range(max_iterations):
+    while max_iterations is None or used < max_iterations:
         lifted = cut(sink_pass(g))
         repaired = repair_closed_flats(lifted)
         nxt, seen = cut(repaired, changed=F.count_if(F.col("lifted") | F.col("repaired")))
         if not seen["changed"]:
-            break
+            return g, used, True
         used += 1
         g = cut(nxt.select(*columns))
-    return g, used
+    return g, used, False
 
 
-def fill_policy(cfg: PreprocessConfig, pixels: int) -> tuple[str, float | None]:
-    """Which fill to run for a raster of ``pixels`` cells, and its depth cap."""
+def fill_policy(cfg: PreprocessConfig) -> tuple[str, float | None]:
+    """Which fill to run, and its depth cap.  ``auto`` is the full flood at every size, so
+    that an answer never depends on how large a raster is."""
     if not cfg.fill_sinks:
         return "none", None
     cap = cfg.max_fill_depth
     if cfg.deep_basin_mode == "preserve" and cap is None:
         cap = 0.0
-    fast = cfg.fill_sink_algorithm == "priority_flood" or (
-        cfg.fill_sink_algorithm == "auto" and pixels >= cfg.fast_fill_min_pixels
-    )
-    return ("priority_flood", cap) if fast else ("legacy", None)
+    return ("legacy", None) if cfg.fill_sink_algorithm == "legacy" else ("priority_flood", cap)
 
 
 def fill_depth(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -119,24 +109,13 @@ def fill_audit(g: DataFrame) -> DataFrame:
 
 
 def _filled(work: DataFrame, cfg: PreprocessConfig) -> DataFrame:
-    """Apply the fill policy raster by raster size class."""
-    if not cfg.fill_sinks:
+    how, cap = fill_policy(cfg)
+    if how == "none":
         return work.withColumn("fill_depth", F.lit(0.0).cast("float"))
     work = cut(work)
-    if cfg.fill_sink_algorithm == "auto":
-        sizes = work.groupBy("raster_id").agg((F.count("*") >= cfg.fast_fill_min_pixels).alias("_fast"))
-        marked = cut(attach(work, sizes))
-        fast, slow = marked.where("_fast").drop("_fast"), marked.where("NOT _fast").drop("_fast")
-        parts = []
-        if not fast.isEmpty():
-            parts.append(_filled(fast, replace(cfg, fill_sink_algorithm="priority_flood")))
-        if not slow.isEmpty():
-            parts.append(_filled(slow, replace(cfg, fill_sink_algorithm="legacy")))
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    how, cap = fill_policy(cfg, 0)
     if how == "priority_flood":
         return fill_depressions(work, cap)
-    after, _ = fill_sinks_iterative(work)
+    after, _, _ = fill_sinks_iterative(work)
     return fill_depth(work, after)
 
 

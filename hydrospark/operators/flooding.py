@@ -177,10 +177,11 @@ def merge_by_lowest_pass(edges: DataFrame) -> DataFrame:
         pick = cut(both.where(F.col("grp") != OUT).groupBy("raster_id", "grp").agg(F.min("e").alias("e"))
                    .select("raster_id", "grp", F.col("e.to").alias("to"), F.col("e.w").alias("w")))
         back = pick.select("raster_id", F.col("grp").alias("to"), F.col("to").alias("back"))
-        hook = cut(pick.join(back, ["raster_id", "to"], "left").select(
+        # Most groups may hook onto the outside at once; it never hooks back, so they need no join.
+        inner = pick.where(F.col("to") != OUT).join(back, ["raster_id", "to"], "left").select(
             "raster_id", "grp", "w",
-            F.when((F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to")), F.col("grp")).otherwise(F.col("to")).alias("root"),
-        ))
+            F.when((F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to")), F.col("grp")).otherwise(F.col("to")).alias("root"))
+        hook = cut(inner.unionByName(pick.where(F.col("to") == OUT).select("raster_id", "grp", "w", F.col("to").alias("root"))))
         hook = _to_roots(hook)
         nodes = cut(lookup_salted(nodes, hook, ["raster_id", "grp"], F.col("v")).select(
             "raster_id", "v", F.coalesce("root", "grp").alias("grp"), F.greatest("level", F.coalesce("w", F.lit(LOW))).alias("level")))

@@ -81,11 +81,11 @@ def render_channel(g: DataFrame) -> DataFrame:
 
 
 def render_input(g: DataFrame, mask: DataFrame) -> DataFrame:
-    """Input colours (``r,g,b``, or gray ``height``), transparent outside the mask."""
+    """Input colours (``r,g,b``, or gray ``height``); all four channels are 0 outside the mask."""
     rgb = ["r", "g", "b"] if "r" in g.columns else ["height"] * 3
     joined = g.join(mask.select(*KEYS, F.col("mask").alias("_m")), KEYS, "left")
-    shown = [F.col(source).cast("int").alias(c) for c, source in zip("rgb", rgb)]
-    return joined.select(*KEYS, *shown, F.when(F.col("_m"), 255).otherwise(0).alias("a"))
+    inside = lambda value: F.when(F.col("_m"), value).otherwise(0)
+    return joined.select(*KEYS, *[inside(F.col(source).cast("int")).alias(c) for c, source in zip("rgb", rgb)], inside(F.lit(255)).alias("a"))
 
 
 def composite(layers: dict[str, DataFrame], opacity: dict | None = None, blend: dict | None = None) -> DataFrame:
@@ -93,11 +93,11 @@ def composite(layers: dict[str, DataFrame], opacity: dict | None = None, blend:
     opacity, blend = {**LAYER_OPACITY, **(opacity or {})}, {**LAYER_BLEND, **(blend or {})}
     rank = {name: i for i, name in enumerate(LAYER_ORDER)}
     stacked = None
-    for name, layer in layers.items():
+    for place, (name, layer) in enumerate(layers.items()):
         rgb = ["gray"] * 3 if "gray" in layer.columns else ["r", "g", "b"]
         alpha = F.col("a") if "a" in layer.columns else F.lit(255)
         pixel = F.struct(
-            F.lit(rank.get(name, len(rank))).alias("z"),
+            F.lit(rank.get(name, len(rank) + place)).alias("z"),
             *[F.col(s).cast("double").alias(c) for s, c in zip(rgb, "rgb")],
             (alpha / F.lit(255.0) * F.lit(float(opacity.get(name, OTHER_OPACITY)))).cast("double").alias("a"),
             F.lit(blend.get(name, "normal")).alias("mode"),

@@ -18,7 +18,7 @@ from hydrospark.schema import D8_STEPS, KEYS, cell_id
 from hydrospark.scratch import cut
 from hydrospark.tiling import lookup_by_tile, lookup_salted, tile_side
 
-MAX_CYCLE_PASSES = 16  # fixed value
+STALLED_PASSES = 16  # passes without fewer cells on cycles
 
 
 def resolve_flats(g: DataFrame, cfg: FlowDirectionConfig | None = None) -> DataFrame:
@@ -168,25 +168,32 @@ def resolve_residual(g: DataFrame) -> DataFrame:
         cells, picks = component_exit(g)
         ready, found = cut(picks.join(_waiting(picks), ["raster_id", "catch"], "left_anti"), n=F.count("*"))
         if not found["n"]:
-            break
+            raise RuntimeError(f"{left['cells']} unresolved cells have no exit to choose")
         done = _apply(g, route_components(cells, ready))
         g, left = cut(done.withColumn("comp", F.when(F.col("direction") < 0, F.col("comp"))), cells=unresolved)
     return g.select(*columns)
 
 
-def repair_cycles(g: DataFrame, max_passes: int = MAX_CYCLE_PASSES) -> DataFrame:
-    """Break remaining flow cycles by giving each one an exit."""
-    g = cut(g)
-    for _ in range(max_passes):
-        loops = cut(flow_cycles(g))
-        if loops.isEmpty():
-            break
+def repair_cycles(g: DataFrame) -> DataFrame:
+    """Break all flow cycles by giving each one an exit.
+
+    Runs until none is left.  A pass that finds no exit, or leaves as many cells on cycles as
+    the least seen for ``STALLED_PASSES`` passes, can't succeed and raises with their number.
+    """
+    g, least, stalled = cut(g), None, 0
+    while True:
+        loops, seen = cut(flow_cycles(g), n=F.count("*"))
+        if not seen["n"]:
+            return g
+        stalled = 0 if least is None or seen["n"] < least else stalled + 1
+        least = seen["n"] if least is None else min(least, seen["n"])
+        if stalled == STALLED_PASSES:
+            raise RuntimeError(f"{seen['n']} cells stay on flow cycles")
         marked = cut(g.join(loops.withColumnRenamed("cycle", "comp"), KEYS, "left"))
         cells, picks = component_exit(marked, others_safe=False)
         if picks.isEmpty():
-            break
+            raise RuntimeError(f"{seen['n']} cells on flow cycles have no exit to choose")
         g = cut(_apply(g, route_components(cells, picks)))
-    return g
 
 
 def flow_direction(g: DataFrame, cfg: FlowDirectionConfig | None = None) -> DataFrame:

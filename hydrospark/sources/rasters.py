@@ -17,23 +17,37 @@ ROWS_PER_BATCH = 256
 
 
 def raster_name(path: str = "path") -> Column:
-    """File name without folder and ending."""
+    """File name without folder and ending; files of one name get one id (see ``read_rasters``)."""
     return F.regexp_extract(F.col(path), r"([^/]+?)(\.[^./]+)?$", 1)
 
 
-def read_rasters(spark: SparkSession, path: str, format: str = "image") -> DataFrame:
+def _named(files: DataFrame, path: str, short_names: bool) -> Column:
+    """The raster id of a file: its path, or its name, which then must be its own."""
+    if not short_names:
+        return F.col(path)
+    twice = files.groupBy(raster_name(path).alias("name")).agg(F.count_distinct(path).alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"several files are named {', '.join(r['name'] for r in twice)}")
+    return raster_name(path)
+
+
+def read_rasters(spark: SparkSession, path: str, format: str = "image", short_names: bool = False) -> DataFrame:
     """Cells of gray or colour images: ``image`` (PNG, JPEG, BMP) or ``pgm``.
 
-    Colours become gray by (299 R + 587 G + 114 B) / 1000.
+    Colours become gray by (19595 R + 38470 G + 7471 B + 32768) >> 16.  A raster's id is its
+    path; with ``short_names`` its file name, and two files of one name raise.  An image
+    that can't be read raises.  One image must fit a row (2 GB).
     """
     if format == "pgm":
-        return _read_pgm(spark, path)
+        return _read_pgm(spark, path, short_names)
     if format != "image":
         raise ValueError("format must be 'image' or 'pgm'")
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    unreadable = F.raise_error(F.concat(F.lit("not a readable image: "), F.col("origin"))).cast("int")
+    images = images.withColumn("width", F.when((F.col("width") > 0) & (F.col("nChannels") > 0), F.col("width")).otherwise(unreadable))
     # One row per raster row first, so that a large image spreads before its pixels are unpacked.
     strips = images.select(
-        raster_name("origin").alias("raster_id"), "width", "nChannels",
+        _named(images, "origin", short_names).alias("raster_id"), "width", "nChannels",
         F.posexplode(F.expr("transform(sequence(0, height - 1), r -> substring(data, r * width * nChannels + 1, width * nChannels))")).alias("row", "strip"),
     ).repartition("raster_id", "row")
     pixels = strips.select(
@@ -43,7 +57,7 @@ def read_rasters(spark: SparkSession, path: str, format: str = "image") -> DataF
     byte = lambda i: F.conv(F.hex(F.expr(f"substring(px, {i}, 1)")), 16, 10).cast("int")
     # Colour bytes are stored blue, green, red.
     gray = F.when(F.col("nChannels") == 1, byte(1)).otherwise(
-        F.floor((byte(3) * 299 + byte(2) * 587 + byte(1) * 114) / 1000))
+        F.shiftright(byte(3) * 19595 + byte(2) * 38470 + byte(1) * 7471 + 32768, 16))
     return pixels.select(*KEYS, gray.cast("float").alias("height"), F.lit(True).alias("valid"))
 
 
@@ -62,8 +76,9 @@ def _pgm_rows(content: bytes):
     return values if top == 255 else values * 255 // top
 
 
-def _read_pgm(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(raster_name().alias("raster_id"), "content")
+def _read_pgm(spark: SparkSession, path: str, short_names: bool) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select(_named(files.select("path"), "path", short_names).alias("raster_id"), "content")
     ship_package(spark)
 
     def unpack(batches):
@@ -91,13 +106,15 @@ def as_mask(g: DataFrame, value: str = "height") -> DataFrame:
 
 
 def cells_from_table(df: DataFrame, row, col, height, raster_id="raster", valid=True) -> DataFrame:
-    """Cell table from any table with row, column and value expressions."""
+    """Cell table from any table with row, column and value expressions; NaN and infinite values are invalid."""
     as_col = lambda x: F.expr(x) if isinstance(x, str) else x
     name = raster_id if isinstance(raster_id, Column) else F.lit(raster_id)
     ok = valid if isinstance(valid, Column) else F.lit(valid)
+    value = as_col(height).cast("float")
+    finite = F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(True))
     return df.select(
         name.cast("string").alias("raster_id"), as_col(row).cast("int").alias("row"), as_col(col).cast("int").alias("col"),
-        as_col(height).cast("float").alias("height"), ok.alias("valid"),
+        F.when(finite, value).otherwise(F.lit(0.0).cast("float")).alias("height"), (ok & finite).alias("valid"),
     )
 
 

@@ -70,7 +70,7 @@ def reusable_prefix(completed, allowed=None, inherit: bool = True) -> list[str]:
 
 
 def layer_catalog(tables: dict[str, DataFrame], spark: SparkSession | None = None) -> DataFrame:
-    """One row per expected layer: stage, status and size, from stage tables by name."""
+    """One row per raster and expected layer: stage, status and size, from stage tables by name."""
     spark = spark or next(iter(tables.values())).sparkSession
     expected = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(LAYERS)], "position int, layer string, stage string")
     found = None
@@ -78,10 +78,13 @@ def layer_catalog(tables: dict[str, DataFrame], spark: SparkSession | None = Non
         table = tables.get(stage)
         if table is None or LAYER_COLUMNS[layer] not in table.columns:
             continue
-        size = table.agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")).withColumn("layer", F.lit(layer))
+        size = table.groupBy("raster_id").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")).withColumn("layer", F.lit(layer))
         found = size if found is None else found.unionByName(size)
     if found is None:
-        found = spark.createDataFrame([], "width int, height int, layer string")
-    return expected.join(found, "layer", "left").select(
-        "position", "layer", "stage", F.when(F.col("width").isNotNull(), "ready").otherwise("pending").alias("status"), "width", "height"
-    ).orderBy("position")
+        found = spark.createDataFrame([], "raster_id string, width int, height int, layer string")
+    # Every raster with every layer: the list of layers, of fixed length, is exploded beside each raster.
+    layers = F.explode(F.array(*[F.lit(k) for k, _ in LAYERS])).alias("layer")
+    wanted = found.select("raster_id").distinct().select("raster_id", layers)
+    return wanted.join(F.broadcast(expected), "layer").join(found, ["raster_id", "layer"], "left").select(
+        "raster_id", "position", "layer", "stage", F.when(F.col("width").isNotNull(), "ready").otherwise("pending").alias("status"), "width", "height"
+    ).orderBy("raster_id", "position")

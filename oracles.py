@@ -220,7 +220,7 @@ add("fill_depressions", B + NB + FLOOD, f"SELECT {RC}, {D('f')} AS height, {D('C
 add("fill_depressions_capped", B + NB + FLOOD, f"SELECT {RC}, {D('CASE WHEN v THEN least(f, h + 2) ELSE h END')} AS height FROM filled")
 add("fill_audit", B + NB + FLOOD, f"""SELECT CAST(count(*) FILTER (WHERE v AND f > h) AS BIGINT) AS changed,
   {D('max(CASE WHEN v THEN f - h ELSE 0 END)')} AS max_depth, {D('coalesce(avg(f - h) FILTER (WHERE v AND f > h), 0)')} AS mean_depth FROM filled""")
-add("fill_policy", DIMS, "SELECT CASE WHEN w * nr >= 8000000 THEN 'priority_flood' ELSE 'legacy' END AS algorithm, CAST(w * nr AS BIGINT) AS pixels FROM dims")
+add("fill_policy", DIMS, "SELECT 'priority_flood' AS algorithm, CAST(w * nr AS BIGINT) AS pixels FROM dims")
 add("flow_edges", O + NB + STRICT + FLOW, 'SELECT CAST(src // w AS INT) AS "row", CAST(src % w AS INT) AS "col", '
     "CAST(dst // w AS INT) AS dst_row, CAST(dst % w AS INT) AS dst_col FROM flow, dims")
 add("flow_terminal", V + NB + STRICT + FLOW + WALK, f"""SELECT {RC}, {ID.format('e.cur')} AS terminal, CAST(e.n AS BIGINT) AS hops
@@ -267,8 +267,8 @@ add("render_mask", OM, f"SELECT {RC}, CASE WHEN v THEN 255 ELSE 0 END AS gray FR
 add("render_channel", V + NB + VALLEY_CHANNEL, f"SELECT {RC}, " + ", ".join(
     f"CASE WHEN on_ THEN {x} ELSE 0 END AS {k}" for k, x in zip("rgba", (121, 210, 255, 255))) + " FROM chan")
 MASKED_INPUT = ",\nm AS (SELECT g.id, coalesce(e.event_id % 11 <> 0, true) AS m FROM grid g LEFT JOIN events e ON e.event_id = g.id)"
-add("render_input", O + MASKED_INPUT, f"SELECT {RC}, CAST(h AS INT) AS r, CAST(h AS INT) AS g, CAST(h AS INT) AS b, "
-    "CASE WHEN m THEN 255 ELSE 0 END AS a FROM cells JOIN m USING (id)")
+add("render_input", O + MASKED_INPUT, f"SELECT {RC}, CASE WHEN m THEN CAST(h AS INT) ELSE 0 END AS r, CASE WHEN m THEN CAST(h AS INT) ELSE 0 END AS g, "
+    "CASE WHEN m THEN CAST(h AS INT) ELSE 0 END AS b, CASE WHEN m THEN 255 ELSE 0 END AS a FROM cells JOIN m USING (id)")
 # Two layers: opaque gray input, then the mask lightened over it at opacity 0.9.
 add("composite", O + MASKED_INPUT + """,
 mix AS (SELECT r AS r0, c AS c0, CAST(floor(0.9 * greatest(h, CASE WHEN m THEN 255 ELSE 0 END) + (1.0 - 0.9) * h + 0.5) AS INT) AS x

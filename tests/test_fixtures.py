@@ -52,14 +52,15 @@ def test_continuity_turns_the_choice(cells, tiles, continuity, expected):
 
 
 def test_closed_flat_is_lifted_with_slope(cells, tiles):
-    filled, rounds = conditioning.fill_sinks_iterative(cells(height=CLOSED), max_iterations=2)
+    filled, rounds, finished = conditioning.fill_sinks_iterative(cells(height=CLOSED))
+    assert finished
     got = grid_of(filled, "height")
     assert rounds >= 1 and got[1, 1] > 5 and got[2, 2] > got[1, 1]
     assert all(got[r, c] >= 12.001 - 1e-6 for r in (1, 2) for c in (1, 2, 3))
 
 
 def test_single_sink_rises_to_mean(cells, tiles):
-    filled, rounds = conditioning.fill_sinks_iterative(cells(height=[[5, 6, 7], [8, 1, 9], [10, 11, 12]]), max_iterations=1)
+    filled, rounds, _ = conditioning.fill_sinks_iterative(cells(height=[[5, 6, 7], [8, 1, 9], [10, 11, 12]]), max_iterations=1)
     assert rounds == 1 and grid_of(filled, "height")[1, 1] == 8.5
 
 
@@ -132,11 +133,31 @@ def test_mask_of_other_shape_is_an_error(cells, tiles):
 def test_config_bounds():
     with pytest.raises(ValueError):
         PreprocessConfig(smooth_kernel_size=16)
-    assert conditioning.fill_policy(PreprocessConfig(deep_basin_mode="preserve"), 8_000_000) == ("priority_flood", 0.0)
-    assert conditioning.fill_policy(PreprocessConfig(), 10)[0] == "legacy"
+    assert conditioning.fill_policy(PreprocessConfig(deep_basin_mode="preserve")) == ("priority_flood", 0.0)
+    assert conditioning.fill_policy(PreprocessConfig()) == ("priority_flood", None)
+    assert conditioning.fill_policy(PreprocessConfig(fill_sink_algorithm="legacy"))[0] == "legacy"
 
 
 def test_closed_flat_repair_keeps_open_flats(cells, tiles):
     got = regions.repair_closed_flats(cells(height=STRIP))
     assert got.where("repaired").count() == 0
     assert got.agg(F.sum("height")).first()[0] == sum(map(sum, STRIP))
+
+
+def test_masked_input_is_empty_outside_the_mask(cells, tiles):
+    from hydrospark.operators import render
+
+    shown = render.render_input(cells(height=[[9, 7]]), cells(mask=[[True, False]]))
+    assert [tuple(r[c] for c in "rgba") for r in shown.orderBy("col").collect()] == [(9, 9, 9, 255), (0, 0, 0, 0)]
+
+
+def test_rasters_of_different_sizes_get_the_answers_they_get_alone(cells, tiles):
+    tiles(4, 2)
+    rng = np.random.default_rng(8)
+    small, large = rng.integers(0, 9, (5, 6)), rng.integers(0, 9, (19, 23))
+    cfg = PreprocessConfig()
+    parts = [cells("s", height=small), cells("l", height=large)]
+    parts = [p.withColumn("valid", F.lit(True)) for p in parts]
+    alone = {(r["raster_id"], r["row"], r["col"]): r["height"] for p in parts for r in conditioning.preprocess(p, cfg).collect()}
+    mixed = {(r["raster_id"], r["row"], r["col"]): r["height"] for r in conditioning.preprocess(parts[0].unionByName(parts[1]), cfg).collect()}
+    assert mixed == alone

@@ -35,7 +35,7 @@ def test_bmp_through_the_image_source(spark, tmp_path):
     (tmp_path / "dots.bmp").write_bytes(head + info + body)
     cells = rasters.read_rasters(spark, str(tmp_path / "dots.bmp"))
     got = {(r["row"], r["col"]): r["height"] for r in cells.collect()}
-    assert got == {(0, 0): 76.0, (0, 1): 255.0, (1, 0): 29.0, (1, 1): 149.0}
+    assert got == {(0, 0): 76.0, (0, 1): 255.0, (1, 0): 29.0, (1, 1): 150.0}
 
 
 def test_catalog_lists_files(spark, picture):
@@ -69,3 +69,34 @@ def test_pause_continue_and_reuse(spark, picture, tmp_path):
     assert ready["channel_mask"] == "ready" and ready["user_mask"] == "pending"
     fresh = run_pipeline(cells, run_dir, cfg, end_stage="io", inherit=False)
     assert fresh.ran == ["io"] and fresh.completed == ["io"]
+
+
+def test_raster_ids_do_not_collide(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pgm").write_bytes(b"P5 2 1 255\n" + bytes([7, 8]))
+    both = str(tmp_path / "*" / "x.pgm")
+    assert rasters.read_rasters(spark, both, "pgm").select("raster_id").distinct().count() == 2
+    with pytest.raises(ValueError, match="x"):
+        rasters.read_rasters(spark, both, "pgm", short_names=True)
+    one = rasters.read_rasters(spark, str(tmp_path / "a" / "x.pgm"), "pgm", short_names=True)
+    assert {r["raster_id"] for r in one.collect()} == {"x"}
+
+
+def test_unreadable_image_raises(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"not an image")
+    with pytest.raises(Exception, match="not a readable image"):
+        rasters.read_rasters(spark, str(tmp_path / "broken.png")).collect()
+
+
+def test_values_that_are_no_numbers_are_invalid(spark):
+    table = spark.createDataFrame([(0, 0, float("nan")), (0, 1, 3.0), (0, 2, float("inf")), (0, 3, None)], "y int, x int, z double")
+    got = [(r["height"], r["valid"]) for r in rasters.cells_from_table(table, "y", "x", "z").orderBy("col").collect()]
+    assert got == [(0.0, False), (3.0, True), (0.0, False), (None, True)]
+
+
+def test_layer_sizes_are_per_raster(spark):
+    cells = spark.createDataFrame([("p", 0, 0, 1.0), ("p", 4, 1, 1.0), ("q", 1, 6, 1.0)], "raster_id string, row int, col int, height float")
+    found = {(r["raster_id"], r["layer"]): (r["width"], r["height"]) for r in stages.layer_catalog({"io": cells}).collect()}
+    assert found["p", "input_preview"] == (2, 5) and found["q", "input_preview"] == (7, 2)
+    assert found["q", "channel_mask"] == (None, None)
