@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 from hydrospark.schema import D8_STEPS
@@ -76,37 +74,54 @@ def upstream_totals(nxt, weight):
     return np.rint(total[:n]).astype(np.int64)
 
 
-def neighbor_lists(n, a, b, weight):
-    """Adjacency in CSR form for an undirected weighted edge list."""
-    src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
-    order = np.argsort(src, kind="stable")
-    starts = np.searchsorted(src[order], np.arange(n + 1))
-    return starts.tolist(), dst[order].tolist(), w[order].tolist()
-
-
 def flood(n, a, b, weight, level, label, seeds):
     """Lowest pass from every node to a seed: (level, label of that seed).
 
-    Nodes are settled in order of rising level; a node takes the label of the
-    neighbour through which it is reached lowest.
+    No edge may weigh less than the level of a seed it touches.  Rounds: every group
+    without a seed hooks onto the group behind its lowest pass (ties: the earlier edge) and
+    its nodes rise to it, so the open groups at least halve.  Nodes that reach no seed keep
+    their label, at level infinity.
     """
-    starts, dst, w = neighbor_lists(n, a, b, weight)
-    heap = [(height, s) for height, s in zip(level[seeds].tolist(), seeds.tolist())]
-    reached = np.full(n, np.inf)
-    reached[seeds] = level[seeds]
-    level, label = reached.tolist(), label.tolist()
-    heapq.heapify(heap)
-    while heap:
-        height, u = heapq.heappop(heap)
-        if height > level[u]:
-            continue
-        for k in range(starts[u], starts[u + 1]):
-            v = dst[k]
-            rise = w[k] if w[k] > height else height
-            if rise < level[v]:
-                level[v], label[v] = rise, label[u]
-                heapq.heappush(heap, (rise, v))
-    return np.array(level), np.array(label, dtype=np.int64)
+    order = np.argsort(weight, kind="stable")
+    a, b, weight = a[order], b[order], weight[order]
+    closed = np.zeros(n, dtype=bool)
+    closed[seeds] = True
+    group = np.arange(n)
+    passes = np.full(n, -np.inf)
+    while True:
+        ga, gb = group[a], group[b]
+        open_ = (ga != gb) & ~(closed[ga] & closed[gb])
+        if not open_.any():
+            break
+        a, b, weight, ga, gb = a[open_], b[open_], weight[open_], ga[open_], gb[open_]
+        # Edges are in rising order; written backwards, the lowest of each group stays.
+        lowest = np.full(n, -1)
+        edge = np.arange(len(a))[::-1]
+        lowest[ga[::-1]] = edge
+        at_b = np.full(n, -1)
+        at_b[gb[::-1]] = edge
+        lowest = np.where((lowest < 0) | ((at_b >= 0) & (at_b < lowest)), at_b, lowest)
+        picked = np.flatnonzero((lowest >= 0) & ~closed)
+        by = lowest[picked]
+        other = np.where(ga[by] == picked, gb[by], ga[by])
+        hook = np.arange(n)
+        hook[picked] = other
+        rise = np.full(n, -np.inf)
+        rise[picked] = weight[by]
+        passes = np.maximum(passes, rise[group])
+        # Two groups that pick the same edge point at each other; the lower one stays.
+        mutual = picked[(hook[other] == picked) & (picked < other)]
+        hook[mutual] = mutual
+        while True:
+            up = hook[hook]
+            if np.array_equal(up, hook):
+                break
+            hook = up
+        group = hook[group]
+    settled = closed[group]
+    top = np.where(settled, passes, np.inf)
+    top[seeds] = level[seeds]
+    return top, np.where(settled, label[group], label).astype(np.int64)
 
 
 def spread(region, cost, source, dist, unit):
