@@ -56,13 +56,17 @@ def on_tile_border(side: int, row="row", col="col") -> Column:
 def lookup_by_tile(g: DataFrame, stats: DataFrame, key: str, side: int) -> DataFrame:
     """Left-join ``stats`` (unique per raster and ``key``) onto the cells.
 
-    A region can hold a third of all cells.  The cells are first reduced to the
-    distinct (tile, key) pairs, the pairs fetch the values, and the cells read
-    them per tile, so no join key carries more than one tile of rows.
+    A region can hold a third of all cells.  The cells are first reduced to distinct
+    (tile, key) pairs and those to (super-tile, key) pairs; the latter fetch the values,
+    the tiles read them per super-tile and the cells per tile.  A join key carries at most
+    one tile of cells, one super-tile of tiles, or one row for each super-tile of a region.
     """
+    fan = tile_fan(g.sparkSession)
     tiled = with_tile(g, side)
     pairs = tiled.where(F.col(key).isNotNull()).select(*TILE_KEYS, key).distinct()
-    pairs = pairs.join(stats, ["raster_id", key])
+    pairs = pairs.withColumn("_srow", tile_of("trow", fan)).withColumn("_scol", tile_of("tcol", fan))
+    wide = pairs.select("raster_id", "_srow", "_scol", key).distinct().join(stats, ["raster_id", key])
+    pairs = pairs.join(wide, ["raster_id", "_srow", "_scol", key]).drop("_srow", "_scol")
     return tiled.join(pairs, [*TILE_KEYS, key], "left").drop("trow", "tcol")
 
 
