@@ -203,6 +203,22 @@ def test_language_model(spark, texts):
     assert score_texts(table(spark, []), 7, 2).count() == 0
 
 
+def test_every_context_has_its_own_restaurant(spark, texts):
+    """How many words are dealt as frequent ones changes no score beyond the spread of samples."""
+    rng = random.Random(11)
+    rows = list(texts[:1])
+    for i in range(100, 400):
+        pairs = rng.sample(range(60), 12)
+        rows.append((i, " ".join(f"x{k} y{k} z{rng.randrange(3000)}" for k in pairs)))
+    few, many = ({r.doc_id: r for r in score_texts(table(spark, rows), 7, 2, contexts=n).collect()} for n in (4, 16_384))
+    held = [i for i in few if few[i].held_out and i >= 100]
+    assert len(held) > 20 and few.keys() == many.keys()
+    for i in few:
+        assert few[i].score > 1.05 * many[i].score and many[i].score > 1.05 * few[i].score
+    # Within a pair the second word is certain: about two of three tokens cost something.
+    assert sum(few[i].score for i in held) > 0.75 * sum(few[i].base_score for i in held)
+
+
 def test_seating_bounds():
     n = np.array([0, 1, 2, 50, 100_000])
     tables = seat(n, np.full(5, 0.01), np.full(5, 10.0), 0.5, np.random.default_rng(0))
