@@ -27,7 +27,8 @@ from hydrospark.scratch import cut
 TOKENIZERS = "/opt/tokenizers"
 TOXIC_FROM = 0.3
 SHARD_BYTES = 1 << 20
-RADIUS = 3
+#: Bits of 128 within which texts count as near copies; the README has the recall.
+RADIUS = 14
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_near``: for ids divisible by 50, how many documents lie within the radius (itself included)."""
+    """For ids divisible by 50: ``n_near``, how many documents lie within the radius (itself included), and
+    ``near_fingerprints``, the distinct fingerprints found; ``fingerprint`` tells which documents have them."""
     docs = table(spark, sf_dir, "documents")
     marked = cut(simhash.edited_fingerprints(docs))
     found = simhash.with_likeness(marked)
@@ -65,12 +67,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = marked.where("doc_id % 50 = 0").select("fp1", "fp2").distinct()
     near = simhash.within_radius(asked, prints, RADIUS)
     near = near.join(prints.withColumnsRenamed({"fp1": "g1", "fp2": "g2"}), ["g1", "g2"]).groupBy("fp1", "fp2").agg(
-        F.sum("documents").alias("n_near"))
+        F.sum("documents").alias("n_near"), F.array_sort(F.collect_list(simhash.as_hex("g1", "g2"))).alias("near_fingerprints"))
     found = found.join(near, ["fp1", "fp2"], "left")
     return found.select(
         "doc_id", "n_chars", "edited_sha256", simhash.as_hex("fp1", "fp2").alias("fingerprint"),
         simhash.as_hex("e1", "e2").alias("edited_fingerprint"), "near_edited", "near_next",
-        F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"))
+        *[F.when(F.col("doc_id") % 50 == 0, F.col(c)).alias(c) for c in ("n_near", "near_fingerprints")])
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

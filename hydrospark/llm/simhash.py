@@ -2,9 +2,9 @@
 
 Every word votes with a weight on each of 128 signed bits.  The votes of two bits share
 one long (32 bits each), so a text's votes are 64 plain sums that Spark aggregates while
-it explodes the words.  The search keeps tables of permuted blocks: with five blocks and
-a radius of three, two fingerprints in reach agree on at least two whole blocks, so ten
-tables keyed by two blocks each find every such pair.
+it explodes the words.  The search keeps a table per block of bits: with five blocks and a
+radius of 14, two fingerprints in reach differ by at most two bits in some block, so a query
+that looks up each of its blocks with every two bits flipped finds every such pair.
 """
 
 from __future__ import annotations
@@ -150,19 +150,48 @@ def with_likeness(marked: DataFrame) -> DataFrame:
     }).drop("part", "place", "s1", "s2", "n1", "n2")
 
 
+def _flips(width: int, most: int) -> list[int]:
+    """Masks of ``width`` bits with at most ``most`` bits set."""
+    return [sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(range(width), k)]
+
+
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """``(fp1, fp2, g1, g2, differing)``: every index fingerprint within ``radius`` bits of a query's.
 
-    Both tables have ``fp1, fp2``, distinct.  Any ``blocks - radius`` blocks form a table key, so no
-    pair within the radius is missed; equal fingerprints are one row, however many texts share one.
+    Both tables have ``fp1, fp2``, distinct.  Were each block to differ in more bits than its reach, all
+    would differ in more than ``radius``, so no pair is missed; each comes from the first block within
+    its reach alone.  Equal fingerprints are one row, however many texts share one.
     """
-    width = -(-BITS // blocks)
-    cuts = [(i * width, min(BITS, (i + 1) * width)) for i in range(blocks)]
-    bits = F.concat(F.lpad(F.conv(F.hex("fp1"), 16, 2), 64, "0"), F.lpad(F.conv(F.hex("fp2"), 16, 2), 64, "0"))
-    tables = list(combinations(range(blocks), blocks - radius))
-    block = [F.substring("bits", a + 1, b - a) for a, b in cuts]
-    keys = F.array(*[F.xxhash64(F.lit(t), *[block[i] for i in chosen]) for t, chosen in enumerate(tables)])
-    keyed = lambda df: df.select("fp1", "fp2", bits.alias("bits")).select("fp1", "fp2", F.explode(keys).alias("key"))
-    known = keyed(index).withColumnsRenamed({"fp1": "g1", "fp2": "g2"})
-    met = keyed(queries).join(known, "key").withColumn("differing", distance("fp1", "fp2", "g1", "g2"))
-    return met.where(F.col("differing") <= radius).select("fp1", "fp2", "g1", "g2", "differing").distinct()
+    cuts = [i * BITS // blocks for i in range(blocks + 1)]
+    # The reaches and one more for each block add up to radius + 1.
+    reaches = [(radius + 1 + i) // blocks - 1 for i in range(blocks)]
+
+    def block(high: str, low: str, i: int) -> Column:
+        """Bits of a block as a number; bit 0 is the lowest of ``low``."""
+        a, b = cuts[i], cuts[i + 1]
+        parts = []
+        for word, start in ((low, 0), (high, 64)):
+            first, last = max(a, start), min(b, start + 64)
+            if first < last:
+                bits = F.shiftrightunsigned(word, first - start).bitwiseAND(F.lit((1 << (last - first)) - 1 if last - first < 64 else -1))
+                parts.append(F.shiftleft(bits, first - a))
+        return parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
+
+    used = [i for i in range(blocks) if reaches[i] >= 0]
+    place = lambda i, value: F.struct(F.lit(i).alias("block"), value.alias("value"))
+    spread = lambda df, places: df.select("fp1", "fp2", F.explode(places).alias("at")).select("fp1", "fp2", "at.block", "at.value")
+    known = spread(index, F.array(*[place(i, block("fp1", "fp2", i)) for i in used])).withColumnsRenamed({"fp1": "g1", "fp2": "g2"})
+    own = spread(queries, F.array(*[place(i, block("fp1", "fp2", i)) for i in used]))
+    masks = F.lit(None).cast("array<long>")
+    for i in used:
+        flips = F.array(*[F.lit(m).cast("long") for m in _flips(cuts[i + 1] - cuts[i], reaches[i])])
+        masks = F.when(F.col("block") == i, flips).otherwise(masks)
+    asked = own.select("fp1", "fp2", "block", "value", F.explode(masks).alias("flip")).select(
+        "fp1", "fp2", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    met = asked.join(known, ["block", "value"]).withColumn("differing", distance("fp1", "fp2", "g1", "g2"))
+    met = met.where(F.col("differing") <= radius)
+    apart = lambda i: F.bit_count(block("fp1", "fp2", i).bitwiseXOR(block("g1", "g2", i)))
+    first = F.lit(None).cast("int")
+    for i in reversed(used):
+        first = F.when(apart(i) <= reaches[i], F.lit(i)).otherwise(first)
+    return met.where(F.col("block") == first).select("fp1", "fp2", "g1", "g2", "differing")

@@ -179,6 +179,43 @@ def test_search_within_radius(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(14, 5), (0, 3), (7, 2 * 4)])
+def test_search_within_wider_radius(spark, radius, blocks):
+    rng = random.Random(4)
+    known = [rng.getrandbits(128) for _ in range(30)]
+    for x in known[:15]:
+        for flips in (1, 5, radius, radius + 1):
+            known.append(x ^ sum(1 << b for b in rng.sample(range(128), flips)))
+    known = list(dict.fromkeys(known))
+    signed = lambda x: tuple(v - 2**64 if v >= 2**63 else v for v in (x >> 64, x & (2**64 - 1)))
+    frame = spark.createDataFrame([signed(x) for x in known], "fp1 long, fp2 long")
+    got = [tuple(r) for r in simhash.within_radius(frame, frame, radius, blocks).collect()]
+    want = [(*signed(x), *signed(y), (x ^ y).bit_count()) for x in known for y in known if (x ^ y).bit_count() <= radius]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_copies_are_returned(spark, tmp_path):
+    """Copies with one word in fifty changed are found, and the result tells which they are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(12):
+        words = [word() for _ in range(200)]
+        rows.append((50 * i, " ".join(words)))
+        for k in rng.sample(range(200), 4):
+            words[k] = word()
+        rows.append((50 * i + 1, " ".join(words)))
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    made = {r.doc_id: r for r in queries.op5_simhash(spark, str(tmp_path)).collect()}
+    found = 0
+    for i in range(12):
+        asked, copy = made[50 * i], made[50 * i + 1]
+        assert asked.fingerprint in asked.near_fingerprints and copy.near_fingerprints is None
+        assert asked.n_near == sum(r.fingerprint in asked.near_fingerprints for r in made.values())
+        found += copy.fingerprint in asked.near_fingerprints
+    assert found >= 9
+
+
 def test_language_model(spark, texts):
     rng = random.Random(3)
     likely = [(100 + i, " ".join(itertools.chain(*[rng.choice([["a", "b"], ["c", "d", "e"]]) for _ in range(20)]))) for i in range(60)]
