@@ -115,7 +115,7 @@ def _filled(work: DataFrame, cfg: PreprocessConfig) -> DataFrame:
     work = cut(work)
     if how == "priority_flood":
         return fill_depressions(work, cap)
-    after, _, _ = fill_sinks_iterative(work)
+    after, _, _ = fill_sinks_iterative(work, max_iterations=None)
     return fill_depth(work, after)
 
 

@@ -59,6 +59,15 @@ def test_closed_flat_is_lifted_with_slope(cells, tiles):
     assert all(got[r, c] >= 12.001 - 1e-6 for r in (1, 2) for c in (1, 2, 3))
 
 
+def test_preprocess_fills_to_the_end(cells, tiles, monkeypatch):
+    """The iterative fill in preprocess is not held to the operator's default number of rounds."""
+    plain = conditioning.fill_sinks_iterative
+    monkeypatch.setattr(conditioning, "fill_sinks_iterative", lambda g, max_iterations=0: plain(g, max_iterations))
+    cfg = PreprocessConfig(fill_sink_algorithm="legacy", smooth=False, preserve_nodata=False)
+    done = conditioning.preprocess(cells(height=[[5, 6, 7], [8, 1, 9], [10, 11, 12]]), cfg)
+    assert grid_of(done, "height")[1, 1] == 8.5
+
+
 def test_single_sink_rises_to_mean(cells, tiles):
     filled, rounds, _ = conditioning.fill_sinks_iterative(cells(height=[[5, 6, 7], [8, 1, 9], [10, 11, 12]]), max_iterations=1)
     assert rounds == 1 and grid_of(filled, "height")[1, 1] == 8.5
