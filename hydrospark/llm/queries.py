@@ -15,10 +15,13 @@ from hydrospark.llm.chat_format import id_pairs, preference_pairs, spans_text
 from hydrospark.llm.common import held_out, shuffle_parts, table
 from hydrospark.llm.decontaminate import leaked_regions
 from hydrospark.llm.ngram_join import ngram_jaccard_components
+from hydrospark.llm.orchard_clustering import cluster_vectors, with_inertia
 from hydrospark.llm.pieces import encode_pieces, read_pieces, zipf_scores
 from hydrospark.llm.pitman_yor import score_texts
+from hydrospark.llm.quality_rules import RULES, SHOWN_STOP_WORDS, judge_quality
 from hydrospark.llm.sharding import extendible_shards
 from hydrospark.llm.substring_dedup import remove_repeats
+from hydrospark.llm.target_resampling import importance_resample
 from hydrospark.llm.token_counts import read_ranks, section_token_counts
 from hydrospark.llm.toxicity import fit_toxicity, score_toxicity
 from hydrospark.scratch import cut
@@ -105,14 +108,112 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_pieces=False).drop("pieces")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(f"counts.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1, longest=1, buckets=10_000,
+        percent=10, least_words=20, seed=2024)
+    return drawn.drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op4_chat_format, op5_simhash, op6_lm_scoring, op7_token_counts,
-    op8_decontamination, op9_substring_dedup, op10_sentencepiece)}
+    op8_decontamination, op9_substring_dedup, op10_sentencepiece, op11_centroid_clustering, op12_quality_rules,
+    op13_importance_resampling)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Plain Lloyd rounds over every pair of vector and centroid."""
+    parts = [f"""
+kept AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {dims}
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, vec_id, unnest(range({dims})) AS d, unnest(list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)) AS x FROM kept),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, d, x AS y FROM first JOIN v USING (r))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT r, (arg_min(c, dist * {k} + c))::INT AS c, min(dist) AS dist FROM
+  (SELECT r, c, sum((x - y) * (x - y))::BIGINT AS dist FROM v JOIN c{i} USING (d) GROUP BY 1, 2) GROUP BY 1)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS (SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c, d, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{i} LEFT JOIN m{i} USING (c, d))""")
+    return f"""WITH {",".join(parts)},
+per AS (SELECT c, sum(dist)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY 1),
+named AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, c AS "cluster", dist AS distance, cluster_inertia, (SELECT sum(dist)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN per USING (c) JOIN named USING (c)"""
+
+
+def _quality_sql() -> str:
+    bounds = {rule.name: rule for rule in RULES}
+    tests = []
+    for rule in bounds.values():
+        whole = "1" if rule.whole == "one" else rule.whole
+        tests += [f"100 * {rule.part} {sign} {bound} * {whole}" for sign, bound in ((">=", rule.low), ("<=", rule.high)) if bound is not None]
+    stops = ", ".join(f"'{w}'" for w in SHOWN_STOP_WORDS)
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+cover AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (doc_id, g)) GROUP BY 1),
+n AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(cover.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+  len(list_filter(ws, lambda x: NOT regexp_matches(x, '[^\x21-\x40\x5B-\x60\x7B-\x7F]'))) AS n_letterless,
+  len(list_filter(ws, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital,
+  len(list_filter(ws, lambda x: x IN ({stops}))) AS n_stop,
+  len(list_filter(ls, lambda x: ltrim(x, ' ')[1] IN ('-', '*', '•'))) AS n_bullet,
+  len(list_filter(ls, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS n_ellipsis
+  FROM w LEFT JOIN cover USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
+
+
+#: CRC-32 of a text's bytes, by the reflected polynomial bit by bit.
+CRC = """
+bits AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT FOR k IN range(8)]),
+  lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+crc AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+  list_transform(range(octet_length(encode(word))), lambda j: ('0x' || hex(encode(word))[2 * j + 1:2 * j + 2])::UBIGINT)),
+  lambda a, z: xor(a >> 8, tab[((xor(a, z) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 10000 AS bucket FROM (SELECT DISTINCT word FROM words) w, bits)"""
+HASHED_WORD = r"regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_quality_rules": _quality_sql(),
+    "op13_importance_resampling": rf"""
+WITH d AS (SELECT doc_id, {HASHED_WORD} AS ws FROM (SELECT doc_id, {LOWERED} AS t FROM documents)),
+b AS (SELECT {HASHED_WORD} AS ws FROM (SELECT {LOWERED} AS t FROM benchmark)),
+dw AS (SELECT doc_id, unnest(ws) AS word FROM d), bw AS (SELECT unnest(ws) AS word FROM b),
+words AS (SELECT word FROM dw UNION ALL SELECT word FROM bw),{CRC},
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+   / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+   FROM (SELECT DISTINCT bucket FROM crc) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+mean AS (SELECT doc_id, sum(gain)::BIGINT AS total, count(*) AS n FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY 1),
+w AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+   ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN mean USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank
+FROM x LEFT JOIN r USING (doc_id)""",
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
