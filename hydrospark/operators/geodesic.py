@@ -23,14 +23,29 @@ FAR = np.iinfo(np.int64).max // 4
 STATE = "raster_id string, row int, col int, cost long, source long, dist int"
 
 
-def region_distances(members: DataFrame) -> DataFrame:
+def _toward(region, dist, source, height):
+    """Code of the neighbour nearer to the source, in the same region, with the smallest rise (-1: none)."""
+    rows, cols = region.shape
+    best, code = np.full(region.shape, np.inf), np.full(region.shape, -1)
+    here = (slice(1, rows - 1), slice(1, cols - 1))
+    for i, (dr, dc) in enumerate(kernels.D8_STEPS):
+        there = (slice(1 + dr, rows - 1 + dr), slice(1 + dc, cols - 1 + dc))
+        rise = height[there] - height[here]
+        better = (region[there] == region[here]) & (source[there] >= 0) & (dist[there] < dist[here]) & (rise < best[here])
+        best[here][better], code[here][better] = rise[better], i
+    return code
+
+
+def region_distances(members: DataFrame, toward: bool = False) -> DataFrame:
     """Nearest source per member cell: (keys, cost, source, dist); unreached cells are absent.
 
     ``members``: keys, ``region`` (BIGINT), and on seed cells ``cost`` (BIGINT, in
     ``COST_UNIT``) and ``source`` (BIGINT >= 0).  Ties go to the lower source.
+    With ``toward``, ``members`` also have a ``height``, and each cell gets the code of its
+    neighbour that is nearer, least risen, first (-1 at the sources).
     """
     side = tile_side(members.sparkSession)
-    layers = {"row": None, "col": None, "region": None, "cost": FAR, "source": -1}
+    layers = {"row": None, "col": None, "region": None, "cost": FAR, "source": -1} | ({"height": None} if toward else {})
     lists = [
         F.collect_list(F.col(c) if fill is None else F.coalesce(F.col(c), F.lit(fill))).alias(c)
         for c, fill in layers.items()
@@ -40,7 +55,7 @@ def region_distances(members: DataFrame) -> DataFrame:
     def settle(rim_only: bool):
         def run(block: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
             if block.empty:
-                return pd.DataFrame(columns=["raster_id", "row", "col", "cost", "source", "dist"])
+                return pd.DataFrame(columns=["raster_id", "row", "col", "cost", "source", "dist", *(["toward"] if toward and not rim_only else [])])
             b = block.iloc[0]
             r0, c0 = int(b["trow"]) * side - 2, int(b["tcol"]) * side - 2
             shape = (side + 4, side + 4)
@@ -66,10 +81,14 @@ def region_distances(members: DataFrame) -> DataFrame:
                     )
                 emit &= meets
             r, c = np.nonzero(emit)
-            return pd.DataFrame({
+            out = pd.DataFrame({
                 "raster_id": b["raster_id"], "row": r + r0, "col": c + c0,
                 "cost": cost[r, c], "source": source[r, c], "dist": dist[r, c],
             })
+            if toward and not rim_only:
+                height = kernels.paint(b["row"], b["col"], b["height"], r0, c0, shape, 0.0, np.float64)
+                out["toward"] = _toward(region, dist, source, height)[r, c]
+            return out
         return run
 
     def arriving(states: DataFrame) -> DataFrame:
@@ -92,7 +111,7 @@ def region_distances(members: DataFrame) -> DataFrame:
         )
         states = merged.drop("_new")
         changed = merged.where("_new").drop("_new")
-    return map_pairs(blocks, arriving(states), TILE_KEYS, settle(False), STATE)
+    return map_pairs(blocks, arriving(states), TILE_KEYS, settle(False), STATE + (", toward int" if toward else ""))
 
 
 def _no_states(like: DataFrame) -> DataFrame:

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.config import FlowDirectionConfig
 from hydrospark.operators.components import connected_components, flat_regions
-from hydrospark.operators.flowgraph import flow_cycles, flow_terminal
+from hydrospark.operators.exits import catchments, exit_forest, exit_ways, first_choices
+from hydrospark.operators.flowgraph import flow_cycles
 from hydrospark.operators.focal import d8_strict, outlet_drop
 from hydrospark.operators.geodesic import region_distances
-from hydrospark.operators.grid import each_neighbor, with_neighbors
 from hydrospark.operators.regions import assign_segments, flat_directions
-from hydrospark.schema import D8_STEPS, KEYS, cell_id
+from hydrospark.schema import KEYS, cell_id
 from hydrospark.scratch import cut
-from hydrospark.tiling import lookup_by_tile, lookup_salted, tile_side
-
-STALLED_PASSES = 16  # passes without fewer cells on cycles
+from hydrospark.tiling import lookup_by_tile, tile_side
 
 
 def resolve_flats(g: DataFrame, cfg: FlowDirectionConfig | None = None) -> DataFrame:
@@ -45,81 +41,18 @@ def unresolved_components(g: DataFrame, out: str = "comp") -> DataFrame:
     return connected_components(g, F.col("valid") & (F.col("direction") < 0), out=out)
 
 
-def _catchments(g: DataFrame) -> DataFrame:
-    """Adds ``catch`` (component each cell drains into, NULL if it leaves) and ``hops``.
-    Component cells end every trace."""
-    traced = cut(flow_terminal(g.withColumn("direction", F.when(F.col("comp").isNull(), F.col("direction")).otherwise(-1))))
-    ends = traced.where("comp IS NOT NULL").select("raster_id", cell_id().alias("terminal"), F.col("comp").alias("catch"))
-    return lookup_salted(traced.drop("direction", "kind"), ends, ["raster_id", "terminal"], F.struct("row", "col")).drop("terminal")
-
+def component_exit(g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each component (``comp``) would let its water out on the given directions.
 
-def component_exit(g: DataFrame, others_safe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Choose where each component (``comp``) lets its water out.
+    Returns the cells with ``catch`` and ``hops``, and one row per component: ``catch``, anchor
+    ``row``/``col``, exit ``dir``, ``reach`` (upstream steps absorbed into the component) and
+    ``nxt`` (component the exit drains into, if any).
 
-    Returns the cells with ``catch`` and ``hops``, and one row per component:
-    anchor ``row``/``col``, exit ``dir``, ``reach`` (upstream steps absorbed into
-    the component) and ``nxt`` (component the exit drains into, if any).
-
-    Preference: a neighbour of the component whose water does not come back; the
-    grid or mask border; the same two after absorbing the inflowing cells step by
-    step; any neighbour.
-    """
-    cells = cut(_catchments(g))
-    double = lambda c: c.cast("double")
-    fields = lambda n, i: [
-        (double(n["height"]) - double(F.col("height"))).alias("rise"), double(n["height"]).alias("level"),
-        F.col("row"), F.col("col"), F.lit(i).alias("dir"), n["catch"].alias("nxt"),
-    ]
-    inside = lambda n: F.coalesce(n["valid"], F.lit(False))
-    away = lambda n: ~n["catch"].eqNullSafe(F.col("catch")) if others_safe else n["catch"].isNull()
-    safe = F.least(*each_neighbor(lambda n, i: F.when(inside(n) & away(n), F.struct(*fields(n, i)))))
-    other = F.least(*each_neighbor(
-        lambda n, i: F.when(inside(n) & ~n["comp"].eqNullSafe(F.col("catch")), F.struct(*fields(n, i)))))
-    border = F.least(*each_neighbor(lambda n, i: F.when(~inside(n), F.struct("row", "col", F.lit(i).alias("dir")))))
-    per_cell = with_neighbors(cells, ["height", "valid", "catch", "comp"]).where("valid AND catch IS NOT NULL").select(
-        "raster_id", "catch", "hops", safe.alias("s"), other.alias("o"), border.alias("b"))
-    has = lambda name, value: F.min(F.when(F.col(name).isNotNull(), value))
-    best = per_cell.groupBy("raster_id", "catch").agg(
-        has("s", F.struct("hops", "s")).alias("s"), has("o", F.col("o")).alias("o"), has("b", F.col("b")).alias("b"),
-        F.min(F.when(F.col("b").isNotNull() & (F.col("hops") == 0), F.col("b"))).alias("b0"),
-    )
-    none = F.lit(None).cast("bigint")
-    everything = F.lit(2**62)
-    row = lambda p, reach, nxt: F.struct(
-        p["row"].alias("row"), p["col"].alias("col"), p["dir"].alias("dir"), reach.cast("bigint").alias("reach"), nxt.alias("nxt"))
-    s, hops = F.col("s.s"), F.col("s.hops")
-    pick = (
-        F.when(hops == 0, row(s, hops, s["nxt"]))
-        .when(F.col("b0").isNotNull(), row(F.col("b0"), F.lit(0), none))
-        .when(hops.isNotNull(), row(s, hops, s["nxt"]))
-        .when(F.col("b").isNotNull(), row(F.col("b"), everything, none))
-        .when(F.col("o").isNotNull(), row(F.col("o"), everything, none))
-    )
-    return cells, cut(best.select("raster_id", "catch", pick.alias("p")).where("p IS NOT NULL").select("raster_id", "catch", "p.*"))
-
-
-def _waiting(picks: DataFrame) -> DataFrame:
-    """The last component (in scan order) of every loop of mutual exits.
-
-    ``high`` is the largest component met after leaving one; a component that meets
-    itself as the largest is on a loop and the last of it.
+    Preference: a neighbour of the component whose water does not come back; the grid or
+    mask border; the same two after absorbing the inflowing cells step by step.
     """
-    total = picks.count()
-    state = picks.where("nxt IS NOT NULL").select("raster_id", F.col("catch").alias("id"), "nxt", F.col("nxt").alias("high"))
-    for _ in range(math.ceil(math.log2(total + 1)) + 1 if total else 0):
-        ahead = state.select("raster_id", F.col("id").alias("nxt"), F.col("nxt").alias("n2"), F.col("high").alias("h2"))
-        state, seen = cut(
-            lookup_salted(state, ahead, ["raster_id", "nxt"], F.col("id"), rows=total)
-            .where("n2 IS NOT NULL")
-            .select("raster_id", "id", F.col("n2").alias("nxt"), F.greatest("high", "h2").alias("high"),
-                    (F.col("h2") > F.col("high")).alias("_grew")),
-            grew=F.count_if("_grew"),
-        )
-        state = state.drop("_grew")
-        # Ids are unique, so once no maximum grows every loop has seen its own.
-        if not seen["grew"]:
-            break
-    return state.where("id = high").select("raster_id", F.col("id").alias("catch"))
+    cells = cut(catchments(g))
+    return cells, cut(first_choices(exit_ways(cells)))
 
 
 def route_components(cells: DataFrame, picks: DataFrame) -> DataFrame:
@@ -127,73 +60,45 @@ def route_components(cells: DataFrame, picks: DataFrame) -> DataFrame:
     cells: the anchor takes the exit, the others the neighbour nearer to the anchor
     with the smallest rise, then the lowest code."""
     side = tile_side(cells.sparkSession)
-    held = cut(
-        lookup_by_tile(
-            cells.select(*KEYS, "height", "catch", "hops"),
-            picks.select("raster_id", "catch", cell_id().alias("anchor"), "dir", "reach"), "catch", side,
-        ).where("hops <= reach").select(*KEYS, "height", "catch", "anchor", "dir")
-    )
+    held = lookup_by_tile(
+        cells.select(*KEYS, "height", "catch", "hops"),
+        picks.select("raster_id", "catch", cell_id().alias("anchor"), "dir", "reach"), "catch", side,
+    ).where("hops <= reach")
     start = cell_id() == F.col("anchor")
     zero = F.lit(0).cast("bigint")
-    near = region_distances(held.select(*KEYS, F.col("catch").alias("region"), F.when(start, zero).alias("cost"), F.when(start, zero).alias("source")))
-    ranked = cut(held.join(near.select(*KEYS, "dist"), KEYS))
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(i).alias("i")) for i, (dr, dc) in enumerate(D8_STEPS)])
-    asked = ranked.withColumn("_s", F.explode(steps)).select(
-        "raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "catch", "dist", F.col("height").alias("_h"),
-        (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), F.col("_s.i").alias("i"),
-    )
-    target = ranked.select(*KEYS, "catch", F.col("height").alias("_nh"), F.col("dist").alias("_nd"))
-    best = asked.join(target, [*KEYS, "catch"]).where("_nd < dist").groupBy(
-        "raster_id", F.col("_r").alias("row"), F.col("_c").alias("col")
-    ).agg(F.min(F.struct((F.col("_nh").cast("double") - F.col("_h").cast("double")).alias("rise"), "i")).alias("m"))
-    return ranked.join(best, KEYS, "left").select(
-        *KEYS, F.when(start, F.col("dir")).otherwise(F.col("m.i")).cast("int").alias("routed"))
-
-
-def _apply(g: DataFrame, routed: DataFrame) -> DataFrame:
+    members = cut(held.select(
+        *KEYS, F.col("catch").alias("region"), F.when(start, zero).alias("cost"), F.when(start, zero).alias("source"),
+        "height", F.when(start, F.col("dir")).alias("dir")))
+    near = region_distances(members.drop("dir"), toward=True)
+    ends = members.where("dir IS NOT NULL").select(*KEYS, "dir")
+    return near.join(ends, KEYS, "left").select(*KEYS, F.coalesce("dir", F.when(F.col("toward") >= 0, F.col("toward"))).cast("int").alias("routed"))
+
+
+def _drained(g: DataFrame) -> DataFrame:
+    """Directions with every component (``comp``) led out: one trace, one exit each, one rewrite of their cells."""
+    cells = cut(catchments(g))
+    routed = route_components(cells, exit_forest(exit_ways(cells)))
     return g.join(routed, KEYS, "left").withColumn("direction", F.coalesce("routed", "direction")).drop("routed")
 
 
 def resolve_residual(g: DataFrame) -> DataFrame:
-    """Give every remaining unresolved component an exit.
-
-    Rounds: all components choose on the same snapshot; where choices form a loop
-    the last component of the loop (scan order) waits and chooses again once the
-    others are routed.
-    """
+    """Give every remaining unresolved component an exit; exits of different components form no loop."""
     columns = g.columns
-    unresolved = F.count_if(F.col("comp").isNotNull())
-    g, left = cut(unresolved_components(g), cells=unresolved)
-    while left["cells"]:
-        cells, picks = component_exit(g)
-        ready, found = cut(picks.join(_waiting(picks), ["raster_id", "catch"], "left_anti"), n=F.count("*"))
-        if not found["n"]:
-            raise RuntimeError(f"{left['cells']} unresolved cells have no exit to choose")
-        done = _apply(g, route_components(cells, ready))
-        g, left = cut(done.withColumn("comp", F.when(F.col("direction") < 0, F.col("comp"))), cells=unresolved)
-    return g.select(*columns)
+    g, left = cut(unresolved_components(g), cells=F.count_if(F.col("comp").isNotNull()))
+    return (_drained(g) if left["cells"] else g).select(*columns)
 
 
 def repair_cycles(g: DataFrame) -> DataFrame:
-    """Break all flow cycles by giving each one an exit.
+    """Break all flow cycles: each is a component that gets an exit.
 
-    Runs until none is left.  A pass that finds no exit, or leaves as many cells on cycles as
-    the least seen for ``STALLED_PASSES`` passes, can't succeed and raises with their number.
+    Only catchments that hold a cycle take part, and since their exits form no loop, one pass leaves none.
     """
-    g, least, stalled = cut(g), None, 0
-    while True:
-        loops, seen = cut(flow_cycles(g), n=F.count("*"))
-        if not seen["n"]:
-            return g
-        stalled = 0 if least is None or seen["n"] < least else stalled + 1
-        least = seen["n"] if least is None else min(least, seen["n"])
-        if stalled == STALLED_PASSES:
-            raise RuntimeError(f"{seen['n']} cells stay on flow cycles")
-        marked = cut(g.join(loops.withColumnRenamed("cycle", "comp"), KEYS, "left"))
-        cells, picks = component_exit(marked, others_safe=False)
-        if picks.isEmpty():
-            raise RuntimeError(f"{seen['n']} cells on flow cycles have no exit to choose")
-        g = cut(_apply(g, route_components(cells, picks)))
+    columns = g.columns
+    g = cut(g)
+    loops, seen = cut(flow_cycles(g), n=F.count("*"))
+    if not seen["n"]:
+        return g
+    return _drained(cut(g.join(loops.withColumnRenamed("cycle", "comp"), KEYS, "left"))).select(*columns)
 
 
 def flow_direction(g: DataFrame, cfg: FlowDirectionConfig | None = None) -> DataFrame:

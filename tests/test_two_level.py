@@ -8,8 +8,9 @@ from conftest import grid_of
 from pyspark.sql import functions as F
 
 from hydrospark.functions.quantiles import exact_quantile
-from hydrospark.operators import components, flooding, flowgraph, focal, geodesic, regions, routing
+from hydrospark.operators import components, exits, flooding, flowgraph, focal, geodesic, regions, routing
 from hydrospark.schema import D8_STEPS
+from hydrospark.scratch import cut
 
 H, W = 33, 27
 
@@ -135,11 +136,96 @@ def test_quantile_by_buckets(spark):
     assert abs(got - np.percentile(values, 95)) < 1e-9
 
 
-def test_only_the_last_of_each_loop_waits(spark):
+def test_roots_of_choices(spark):
     # 1 <-> 2 with a descending tail, a loop of four, and a chain that leaves.
-    to = {1: 2, 2: 1, 3: 1, 9: 8, 8: 7, 7: 6, 6: 5, 5: 4, 4: 3, 20: 23, 23: 21, 21: 22, 22: 20, 40: 39, 39: 38, 38: 37, 37: 36, 36: None}
-    picks = spark.createDataFrame([("a", k, v) for k, v in to.items()], "raster_id string, catch long, nxt long")
-    assert {r["catch"] for r in routing._waiting(picks).collect()} == {2, 23}
+    to = {1: 2, 2: 1, 3: 1, 9: 8, 8: 7, 7: 6, 6: 5, 5: 4, 4: 3, 20: 23, 23: 21, 21: 22, 22: 20, 40: 39, 39: 38, 38: 37, 37: 36, 36: -1}
+    picks = spark.createDataFrame([("a", k, v) for k, v in to.items()], "raster_id string, g long, ng long")
+    roots = {r["id"]: r["root"] for r in exits._roots(picks, len(to)).collect()}
+    assert roots == {k: 2 if k < 10 else 23 if k < 30 else -1 for k in to}
+
+
+def plain_exits(h, v, d):
+    """Components without a direction, their catchments, and the way each would choose, by plain search."""
+    closed = {(r, c) for r in range(H) for c in range(W) if v[r, c] and d[r, c] < 0}
+    comp = pieces(closed, lambda a, b: True)
+
+    def trace(at):
+        hops = 0
+        while True:
+            if at in comp:
+                return comp[at], hops
+            nxt = dict(around(*at)).get(d[at])
+            if nxt is None or not v[nxt]:
+                return None, hops
+            at, hops = nxt, hops + 1
+
+    ends = {(r, c): trace((r, c)) for r in range(H) for c in range(W) if v[r, c]}
+    ways = {}
+    for at, (catch, hops) in ends.items():
+        if catch is None:
+            continue
+        near = dict(around(*at))
+        for i in range(8):
+            n = near.get(i)
+            if n is None or not v[n]:
+                way = (1 if hops == 0 else 3, 0, 0.0, 0.0, *at, i)
+                nxt = None
+            elif ends[n][0] != catch:
+                way = (0 if hops == 0 else 2, hops, h[n] - h[at], h[n], *at, i)
+                nxt = ends[n][0]
+            else:
+                continue
+            ways[catch, nxt] = min(way, ways.get((catch, nxt), (9,)))
+    return ends, ways
+
+
+@pytest.mark.parametrize("side, seed", [(8, 3), (16, 4), (4, 5)])
+def test_ways_out_and_the_forest_of_exits(cells, tiles, side, seed):
+    tiles(side)
+    rng = np.random.default_rng(seed)
+    h, v = rng.integers(0, 12, (H, W)).astype(float), rng.random((H, W)) > 0.05
+    if seed == 5:  # one bowl in a bowl in a bowl: the inner ones have no neighbour that drains elsewhere
+        r, c = np.indices((H, W))
+        h = np.maximum(abs(r - 16), abs(c - 13)).astype(float)
+        h[(h % 4) == 2] -= 3
+        v[:] = True
+    table = cut(routing.unresolved_components(focal.d8_strict(cells(height=h, valid=v))))
+    d = grid_of(table, "direction")
+    ends, ways = plain_exits(h, v, d)
+    code = lambda at: -1 if at is None else (at[0] << 32) + at[1]
+    found = exits.exit_ways(cut(exits.catchments(table)))
+    assert {(r["c"], r["nxt"]): tuple(r[k] for k in exits.WAY) for r in found.collect()} == {(code(c), code(n)): w for (c, n), w in ways.items()}
+    best = {}
+    for (c, n), way in ways.items():
+        best[c] = min(best.get(c, (9,)), (*way, code(n)))
+    first = {r["catch"]: (r["row"], r["col"], r["dir"], -1 if r["nxt"] is None else r["nxt"]) for r in exits.first_choices(found).collect()}
+    assert first == {code(c): (w[4], w[5], w[6], w[7]) for c, w in best.items()}
+    forest = {r["catch"]: r for r in exits.exit_forest(found).collect()}
+    assert set(forest) == {code(c) for c, _ in ways}
+    for c, r in forest.items():
+        assert (c, -1 if r["nxt"] is None else r["nxt"]) in {(code(c), code(n)) for c, n in ways}
+        seen = set()
+        while c is not None:  # every chain of exits ends outside
+            assert c not in seen
+            seen.add(c)
+            c = forest[c]["nxt"]
+    assert any(r["nxt"] == first[c][3] for c, r in forest.items() if r["nxt"] is not None) or all(r["nxt"] is None for r in forest.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_pass_leaves_no_cycle(cells, tiles, seed):
+    tiles(8)
+    rng = np.random.default_rng(seed)
+    v = rng.random((H, W)) > 0.03
+    table = cut(cells(height=rng.integers(0, 9, (H, W)), valid=v, direction=np.where(v, rng.integers(0, 8, (H, W)), -1)))
+    loops = flowgraph.flow_cycles(table)
+    assert loops.count() > 10
+    repaired = cut(routing.repair_cycles(table))
+    assert flowgraph.flow_cycles(repaired).count() == 0
+    # Water that met no cycle keeps its way.
+    kept = {k for k, kind in grid_of(flowgraph.flow_terminal(table), "kind").items() if kind == "exit"}
+    before, after = grid_of(table, "direction"), grid_of(repaired, "direction")
+    assert kept and all(before[k] == after[k] for k in kept)
 
 
 def pieces(inside, same):
