@@ -30,6 +30,7 @@ class PreprocessConfig:
     fill_sinks: bool = True
     fill_sink_algorithm: str = "auto"
     max_fill_depth: float | None = None
+    max_fill_rounds: int = 32
     deep_basin_mode: str = "mark"
     preserve_nodata: bool = True
     nodata_value: float | None = None
@@ -50,6 +51,7 @@ class PreprocessConfig:
             self,
             smooth_kernel_size=(1, 15),
             max_fill_depth=(0.0, 255.0),
+            max_fill_rounds=(1, None),
             nodata_value=(0.0, 255.0),
             auto_mask_border_sensitivity=(0.1, 5.0),
             auto_mask_texture_sensitivity=(0.1, 5.0),

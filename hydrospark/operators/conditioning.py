@@ -10,14 +10,13 @@ from hydrospark.functions.quantiles import exact_quantile
 from hydrospark.operators import grid
 from hydrospark.operators.components import border_connected, filter_components
 from hydrospark.operators.flooding import fill_depressions
-from hydrospark.operators.focal import box_smooth, gradient_score, sink_pass, variance_score
-from hydrospark.operators.regions import repair_closed_flats
+from hydrospark.operators.focal import box_smooth, gradient_score, variance_score
+from hydrospark.operators.iterative_fill import MAX_FILL_ROUNDS, iterative_fill
 from hydrospark.schema import KEYS
 from hydrospark.scratch import cut
 from hydrospark.tiling import attach
 
 INVALID_SCORE = 0.58  # fixed value
-MAX_FILL_ROUNDS = 32  # fixed value
 
 
 def _auto_mask_core(g: DataFrame, border_sensitivity: float, texture_sensitivity: float) -> DataFrame:
@@ -59,23 +58,11 @@ def auto_mask(g: DataFrame, cfg: PreprocessConfig | None = None, scale: int = 1)
     return out.withColumn("auto_mask", F.coalesce("auto_mask", F.lit(False)) & F.col("valid"))
 
 
-def fill_sinks_iterative(g: DataFrame, max_iterations: int | None = MAX_FILL_ROUNDS) -> tuple[DataFrame, int, bool]:
-    """Alternate the local sink lift and the closed-flat repair until nothing changes.
-
-    Returns the cells, the number of rounds that changed something, and whether it finished:
-    it may stop before, after ``max_iterations`` rounds (None: never).
-    """
-    columns, used = g.columns, 0
-    g = cut(g)
-    while max_iterations is None or used < max_iterations:
-        lifted = cut(sink_pass(g))
-        repaired = repair_closed_flats(lifted)
-        nxt, seen = cut(repaired, changed=F.count_if(F.col("lifted") | F.col("repaired")))
-        if not seen["changed"]:
-            return g, used, True
-        used += 1
-        g = cut(nxt.select(*columns))
-    return g, used, False
+def fill_sinks_iterative(g: DataFrame, max_iterations: int = MAX_FILL_ROUNDS) -> tuple[DataFrame, int, bool]:
+    """The iterative fill of all rasters: the cells, the most rounds any raster took, and whether all finished."""
+    cells, per_raster = iterative_fill(g, max_iterations)
+    seen = per_raster.agg(F.max("rounds").alias("rounds"), F.coalesce(F.bool_and("finished"), F.lit(True)).alias("finished")).first()
+    return cells, seen["rounds"] or 0, seen["finished"]
 
 
 def fill_policy(cfg: PreprocessConfig) -> tuple[str, float | None]:
@@ -115,15 +102,17 @@ def _filled(work: DataFrame, cfg: PreprocessConfig) -> DataFrame:
     work = cut(work)
     if how == "priority_flood":
         return fill_depressions(work, cap)
-    after, _, _ = fill_sinks_iterative(work, max_iterations=None)
-    return fill_depth(work, after)
+    after, per_raster = iterative_fill(work, cfg.max_fill_rounds)
+    per_raster = per_raster.withColumnsRenamed({"rounds": "fill_rounds", "finished": "fill_finished"})
+    return attach(fill_depth(work, after), per_raster)
 
 
 def preprocess(g: DataFrame, cfg: PreprocessConfig | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Nodata, height mapping, user mask, auto mask, smoothing and filling.
 
     Returns the cells with ``height`` (filled), ``valid``, ``texture_height`` (smoothed,
-    before filling), ``fill_depth`` and, when it was used, ``auto_mask``.
+    before filling), ``fill_depth`` and, when it was used, ``auto_mask``.  After an iterative fill
+    also ``fill_rounds`` and ``fill_finished`` of the raster: unfinished heights say so.
     """
     cfg = cfg or PreprocessConfig()
     cells = grid.height_mapping(grid.valid_mask(g, cfg.preserve_nodata, cfg.nodata_value), cfg.height_mapping)
@@ -139,4 +128,4 @@ def preprocess(g: DataFrame, cfg: PreprocessConfig | None = None, mask: DataFram
         inside = box_smooth(inside, cfg.smooth_kernel_size)
     worked = _filled(inside.withColumn("texture_height", F.col("height")), cfg)
     rest = outside.withColumn("texture_height", F.col("height")).withColumn("fill_depth", F.lit(0.0).cast("float"))
-    return worked.unionByName(rest)
+    return worked.unionByName(rest, allowMissingColumns=True)

@@ -59,13 +59,12 @@ def test_closed_flat_is_lifted_with_slope(cells, tiles):
     assert all(got[r, c] >= 12.001 - 1e-6 for r in (1, 2) for c in (1, 2, 3))
 
 
-def test_preprocess_fills_to_the_end(cells, tiles, monkeypatch):
-    """The iterative fill in preprocess is not held to the operator's default number of rounds."""
-    plain = conditioning.fill_sinks_iterative
-    monkeypatch.setattr(conditioning, "fill_sinks_iterative", lambda g, max_iterations=0: plain(g, max_iterations))
-    cfg = PreprocessConfig(fill_sink_algorithm="legacy", smooth=False, preserve_nodata=False)
-    done = conditioning.preprocess(cells(height=[[5, 6, 7], [8, 1, 9], [10, 11, 12]]), cfg)
-    assert grid_of(done, "height")[1, 1] == 8.5
+def test_preprocess_tells_whether_the_fill_finished(cells, tiles):
+    stairs = [[9] * 9, [9, *range(1, 8), 9], [9] * 9]
+    for rounds, finished in ((1, False), (32, True)):
+        cfg = PreprocessConfig(fill_sink_algorithm="legacy", smooth=False, preserve_nodata=False, max_fill_rounds=rounds)
+        seen = {(r["fill_rounds"], r["fill_finished"]) for r in conditioning.preprocess(cells(height=stairs), cfg).collect()}
+        assert len(seen) == 1 and (finished,) == next(iter(seen))[1:]
 
 
 def test_single_sink_rises_to_mean(cells, tiles):
