@@ -7,9 +7,13 @@ written once, when every component has its exit.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrospark.grouped import map_groups
 from hydrospark.operators.flowgraph import flow_terminal
 from hydrospark.operators.grid import each_neighbor, with_neighbors
 from hydrospark.schema import cell_id
@@ -116,8 +120,8 @@ def _turned(exits: DataFrame, starts: DataFrame) -> DataFrame:
     return kept.unionByName(back).unionByName(starts.select("raster_id", "c", "nxt"))
 
 
-def exit_forest(ways: DataFrame) -> DataFrame:
-    """One exit per component such that no choices form a loop.
+def _joined_forest(ways: DataFrame) -> DataFrame:
+    """Exits (``raster_id, c, nxt``) of all components, in rounds of joins over ways.
 
     Groups of components, at first one each, choose in rounds; a group is named by its root,
     whose water the others' exits lead to.  It takes the root's best way to another group,
@@ -146,6 +150,53 @@ def exit_forest(ways: DataFrame) -> DataFrame:
         moved = moved.select("raster_id", F.col("_g").alias("g"), F.coalesce("_ng", F.lit(OUTSIDE)).cast("long").alias("ng"), "c", "nxt", *WAY).where("g <> ng")
         best = F.min(F.struct((F.col("c") != F.col("g")).alias("far"), *WAY, "c", "nxt")).alias("p")
         open_, seen = cut(moved.groupBy("raster_id", "g", "ng").agg(best).select("raster_id", "g", "ng", "p.*").drop("far"), n=F.count("*"))
-    if exits is None:
-        return _reach(ways)
+    return ways.select("raster_id", "c", "nxt").limit(0) if exits is None else exits
+
+
+def _one_raster_forest(ways: pd.DataFrame) -> pd.DataFrame:
+    """``_joined_forest`` for the ways of one raster, held in one task."""
+    keys = list(zip(*(ways[name].tolist() for name in WAY)))
+    pairs = list(zip(ways["c"].tolist(), ways["nxt"].tolist()))
+    open_ = {pair: (False, key, *pair) for pair, key in zip(pairs, keys)}  # (group, next group): best way, far ones last
+    exits = {}
+    while open_:
+        picks = {}
+        for (g, ng), (far, key, c, nxt) in open_.items():
+            picks[g] = min(picks.get(g, (True, (math.inf,))), (far, key, c, nxt, ng))
+        roots = {OUTSIDE: OUTSIDE}
+        for start in picks:
+            path, at = {}, start
+            while at not in roots and at not in path:
+                path[at] = len(path)
+                at = picks[at][4]
+            end = roots[at] if at in roots else max(list(path)[path[at]:])
+            roots.update(dict.fromkeys(path, end))
+        for g, (far, _, c, nxt, _) in picks.items():
+            while roots[g] != g:
+                after = exits.get(c) if far else None
+                exits[c] = nxt
+                if after is None:
+                    break
+                c, nxt = after, c  # the path from the member to its root is turned round
+        moved = {}
+        for (g, ng), (_, key, c, nxt) in open_.items():
+            g, ng = roots[g], roots[ng]
+            if g not in (OUTSIDE, ng):
+                way = (c != g, key, c, nxt)
+                moved[g, ng] = min(moved.get((g, ng), way), way)
+        open_ = moved
+    return pd.DataFrame({"raster_id": ways["raster_id"].iloc[0], "c": list(exits), "nxt": list(exits.values())})
+
+
+#: Ways of a raster that one task may hold; rasters with more go by joins, with the same result.
+HELD_WAYS = 500_000
+
+
+def exit_forest(ways: DataFrame) -> DataFrame:
+    """One exit per component such that no choices form a loop (see ``_joined_forest`` for how they choose)."""
+    sizes, seen = cut(ways.groupBy("raster_id").agg(F.count("*").alias("n")), large=F.count_if(F.col("n") > HELD_WAYS))
+    few = ways.join(sizes.where(F.col("n") <= HELD_WAYS), "raster_id", "left_semi")
+    exits = map_groups(few, ["raster_id"], _one_raster_forest, "raster_id string, c long, nxt long")
+    if seen["large"]:
+        exits = exits.unionByName(_joined_forest(ways.join(sizes.where(F.col("n") > HELD_WAYS), "raster_id", "left_semi")))
     return _reach(ways.join(exits, ["raster_id", "c", "nxt"]))

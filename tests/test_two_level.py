@@ -209,6 +209,8 @@ def test_ways_out_and_the_forest_of_exits(cells, tiles, side, seed):
             assert c not in seen
             seen.add(c)
             c = forest[c]["nxt"]
+    joined = {(r["c"], r["nxt"]) for r in exits._joined_forest(found).collect()}
+    assert joined == {(c, -1 if r["nxt"] is None else r["nxt"]) for c, r in forest.items()}
     assert any(r["nxt"] == first[c][3] for c, r in forest.items() if r["nxt"] is not None) or all(r["nxt"] is None for r in forest.values())
 
 
