@@ -188,7 +188,8 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
         masks = F.when(F.col("block") == i, flips).otherwise(masks)
     asked = own.select("fp1", "fp2", "block", "value", F.explode(masks).alias("flip")).select(
         "fp1", "fp2", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    met = asked.join(known, ["block", "value"]).withColumn("differing", distance("fp1", "fp2", "g1", "g2"))
+    # The planner does not count what the masks multiply; neither side is ever small enough to be sent to all.
+    met = asked.hint("shuffle_merge").join(known.hint("shuffle_merge"), ["block", "value"]).withColumn("differing", distance("fp1", "fp2", "g1", "g2"))
     met = met.where(F.col("differing") <= radius)
     apart = lambda i: F.bit_count(block("fp1", "fp2", i).bitwiseXOR(block("g1", "g2", i)))
     first = F.lit(None).cast("int")
