@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.llm.common import arrow_map, batch, blocks, text_bytes
-from hydrospark.llm.words import BACK, BYTE_VALUE, STEP, _powers_of, mix
+from hydrospark.llm.words import span_hashes
 
 MARKER = "▁".encode()
 #: Bytes that UTF-8 never has stand for a marker character of the text itself; it is spelled in byte pieces.
@@ -274,11 +274,7 @@ class Encoder:
         text, bounds = marked_text(data, offsets)
         begins = unit_bounds(text, bounds)
         ends = np.append(begins[1:], len(text))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(text) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[text] * _powers_of(STEP, len(text)), out=sums[1:])
-            keys = (sums[ends] - sums[begins]) * _powers_of(BACK, len(text) + 1)[begins]
-            keys = mix(keys ^ (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys = span_hashes(text, begins, ends)
         distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.remembered:
             self.forget()

@@ -1,7 +1,7 @@
 """Words and word n-grams of a block of texts as 64-bit hashes, with array operations only.
 
-A word is ``[^\\x20\\x09-\\x0D]+``.  Its hash is a polynomial over table values of its
-bytes, read off running sums, then mixed; equal words have equal hashes everywhere.
+A word is ``[^\\x20\\x09-\\x0D]+``.  Its hash sums one random-looking value for each byte at its
+place in the word, then mixes; equal words have equal hashes everywhere.
 """
 
 from __future__ import annotations
@@ -24,28 +24,35 @@ def _numbers(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-BYTE_VALUE = _numbers(256, 0)
-STEP = int(_numbers(1, 4096)[0]) | 1
-BACK = pow(STEP, -1, 1 << 64)
+#: Places of a word with a table of byte values of their own; bytes farther on are mixed with their place.
+PLACES = 64
+PLACE_VALUES = _numbers(PLACES * 256, 1 << 20)
 GRAM_FACTORS = _numbers(64, 8192) | np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 32
 
-_powers: dict[int, np.ndarray] = {}
 
+def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of bytes ``text[start:end]``.
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = max(n, 1 << 16)
-        known = np.full(size, np.uint64(base))
-        known[0] = 1
-        with np.errstate(over="ignore"):
-            known = np.multiply.accumulate(known)
-        _powers[base] = known
-    return known[:n]
+    A sum of powers modulo 2^64 would map whole families of long words to one value, whatever
+    the base; here each place has its own table, so only chance makes two sums equal.
+    """
+    sizes = ends - starts
+    upto = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=upto[1:])
+    every = np.arange(upto[-1])
+    place = every - np.repeat(upto[:-1], sizes)
+    value = PLACE_VALUES[((place & (PLACES - 1)) << 8) | text[every + np.repeat(starts - upto[:-1], sizes)]]
+    with np.errstate(over="ignore"):
+        if sizes.max(initial=0) > PLACES:
+            deep = np.flatnonzero(place >= PLACES)
+            value[deep] = mix(value[deep] + (place[deep] // PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sums = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        return mix((sums[upto[1:]] - sums[upto[:-1]]) ^ (sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 @dataclass
@@ -80,11 +87,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     filled = bounds[1:][np.diff(bounds) > 0] - 1
     closes[filled] = inside[filled]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[text] * _powers_of(STEP, len(text)), out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * _powers_of(BACK, len(text) + 1)[starts]
-        hashes = mix(hashes ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    hashes = span_hashes(text, starts, ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds))
 
 
