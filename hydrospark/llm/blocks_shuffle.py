@@ -60,11 +60,12 @@ def gather(batches: Iterator[pa.RecordBatch], owners: list, fields: list) -> Ite
                [np.concatenate(c) for c in zip(*[p[1] for p in parts], strict=True)])
 
 
-def pack_by_key(keys: np.ndarray, fields: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Blocks that bring records of one key (a 64-bit number) together again."""
-    order = np.argsort(keys, kind="stable")
-    keys, fields = keys[order], [f[order] for f in fields]
-    heads = run_starts(keys)
-    owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
-    home = mix(keys.view(np.uint64)) % np.uint64(buckets)
-    return pack(home.astype(np.int32), owner, [keys[heads]], fields)
+def pack_by_key(keys: np.ndarray | list[np.ndarray], fields: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Blocks that bring records of one key (one or more 64-bit numbers) together again."""
+    keys = keys if isinstance(keys, list) else [keys]
+    order = np.lexsort(keys[::-1])
+    keys, fields = [k[order] for k in keys], [f[order] for f in fields]
+    heads = run_starts(*keys)
+    owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys[0]))))
+    home = mix(keys[0].view(np.uint64)) % np.uint64(buckets)
+    return pack(home.astype(np.int32), owner, [k[heads] for k in keys], fields)

@@ -97,7 +97,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), window=13, with_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13, with_text=False).drop("th")
 
 
 def vocabulary():

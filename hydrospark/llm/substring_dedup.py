@@ -7,7 +7,7 @@ A task sorts its suffixes and reads the common prefixes of neighbours; the runs
 leaves are the places where a passage repeats.
 
 Words are carried as hashes of three blocks that make up a window (the edges of the tree
-down to the depth asked for), so a suffix is some 30 bytes.  Most suffixes are unique and are
+down to the depth asked for), so a suffix is some 20 bytes.  Most suffixes are unique and are
 ruled out beforehand: a window can repeat only where its minimizer, the least hash among
 its shorter grams, occurs in two documents.
 """
@@ -20,6 +20,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,15 @@ GRAM = 8
 #: Suffixes that may share a prefix before the prefix grows by a block of words.
 GROUP_SUFFIXES = 1_000_000
 
-_PLAIN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("level", pa.int32()),
+_PLAIN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("level", pa.int32()),
                     ("prefix", pa.int64()), ("suffixes", pa.int64())])
-PLAIN = "doc_id long, n_words long, sha string, level int, prefix long, suffixes long"
-_HELD = pa.schema([("doc_id", pa.int64()), ("held", pa.binary())])
-HELD = "doc_id long, held binary"
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
-KEPT = "doc_id long, n_words long, n_removed long, sha string, kept string"
+PLAIN = "doc_id long, th long, n_words long, sha string, level int, prefix long, suffixes long"
+_HELD = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("held", pa.binary())])
+HELD = "doc_id long, th long, held binary"
+_ZIPPED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("zipped", pa.binary())])
+ZIPPED = "doc_id long, th long, zipped binary"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
+KEPT = "doc_id long, th long, n_words long, n_removed long, sha string, kept string"
 
 
 def _splits(window: int) -> tuple[int, int, int]:
@@ -84,7 +87,7 @@ def _survey(batches, window: int, least: float):
     frequent = [Frequent() for _ in range(3)]
     for rows in batches:
         data, offsets = text_bytes(rows.column("text"))
-        doc_ids = rows.column("doc_id")
+        doc_ids, th = rows.column("doc_id"), rows.column("th")
         for low, high in blocks(offsets):
             words = split_words(data, offsets[low:high + 1], lower=False)
             at, _ = window_starts(words, window)
@@ -92,21 +95,44 @@ def _survey(batches, window: int, least: float):
                 frequent[level].add(prefix)
             shas = [hashlib.sha256(b" ".join(data[offsets[d]:offsets[d + 1]].tobytes().split())).hexdigest() for d in range(low, high)]
             none = pa.nulls(high - low, pa.int64())
-            yield batch(_PLAIN, doc_ids[low:high], words.counts, shas, pa.nulls(high - low, pa.int32()), none, none)
+            yield batch(_PLAIN, doc_ids[low:high], th[low:high], words.counts, shas, pa.nulls(high - low, pa.int32()), none, none)
     for level, found in enumerate(frequent):
         keys, counts = found.above(least)
         none = pa.nulls(len(keys), pa.int64())
-        yield batch(_PLAIN, none, none, pa.nulls(len(keys), pa.string()), np.full(len(keys), level, np.int32), keys.view(np.int64), counts)
+        yield batch(_PLAIN, none, none, none, pa.nulls(len(keys), pa.string()), np.full(len(keys), level, np.int32), keys.view(np.int64), counts)
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(-1) if column.null_count else column)
+def _keys(rows) -> list[np.ndarray]:
+    """What names a row: its id and the hash of its text."""
+    return [np.asarray(rows.column("doc_id")), np.asarray(rows.column("th"))]
+
+
+def _part(keys: list[np.ndarray], at) -> list[np.ndarray]:
+    return [k[at] for k in keys]
+
+
+def _zip(batches):
+    """Texts compressed one by one, for the way to their places."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for rows in batches:
+        data, offsets = text_bytes(rows.column("text"))
+        held = [press(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield batch(_ZIPPED, rows.column("doc_id"), rows.column("th"), held)
+
+
+def _unzipped(column: pa.Array) -> list[bytes]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    return [unpress(z) for z in column.to_pylist()]
+
+
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def _send_minimizers(batches, window: int, gram: int, buckets: int):
     for rows in batches:
         data, offsets = text_bytes(rows.column("text"))
-        ids = _numbers(rows.column("doc_id"))
+        keys = _keys(rows)
         for low, high in blocks(offsets):
             words = split_words(data, offsets[low:high + 1], lower=False)
             _, text, least = _minimizers(words, window, gram)
@@ -114,50 +140,52 @@ def _send_minimizers(batches, window: int, gram: int, buckets: int):
             text, least = text[order], least[order]
             fresh = run_starts(text, least)
             text, least = text[fresh], least[fresh]
-            yield packed.pack((least % np.uint64(buckets)).astype(np.int32), text, [ids[low:high]], [least])
+            # Half of a minimizer besides its bucket: a chance match only lets a window through to be compared.
+            yield packed.pack((least % np.uint64(buckets)).astype(np.int32), text, _part(keys, slice(low, high)), [_half(least)])
 
 
 def _collect(batches, kind):
-    """One row per document with all its values as bytes, from blocks by document."""
-    for (owner,), (values,) in packed.gather(batches, [np.int64], [kind]):
-        order = np.argsort(owner, kind="stable")
-        owner, values = owner[order], values[order]
-        heads = run_starts(owner)
-        ends = np.append(heads[1:], len(owner))
-        yield batch(_HELD, owner[heads], [values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
+    """One row per text with all its values as bytes, from blocks by text."""
+    for keys, (values,) in packed.gather(batches, [np.int64, np.int64], [kind]):
+        order = np.lexsort(keys[::-1])
+        keys, values = _part(keys, order), values[order]
+        heads = run_starts(*keys)
+        ends = np.append(heads[1:], len(values))
+        yield batch(_HELD, *_part(keys, heads), [values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
 
 
-def _by_doc(sent: DataFrame, kind, parts: int) -> DataFrame:
+def _by_text(sent: DataFrame, kind, parts: int) -> DataFrame:
     return arrow_map(sent.repartition(parts, "bucket"), partial(_collect, kind=kind), HELD)
 
 
 def _shared_minimizers(batches, buckets: int):
-    for (doc,), (least,) in packed.gather(batches, [np.int64], [np.uint64]):
-        order = np.lexsort((doc, least))
-        doc, least = doc[order], least[order]
-        pairs = run_starts(least, doc)
-        doc, least = doc[pairs], least[pairs]
+    for (doc, th), (least,) in packed.gather(batches, [np.int64, np.int64], [np.uint32]):
+        order = np.lexsort((th, doc, least))
+        doc, th, least = doc[order], th[order], least[order]
         heads = run_starts(least)
         many = np.diff(np.append(heads, len(least)))
-        shared = np.repeat(many > 1, many)
-        yield packed.pack_by_key(doc[shared], [least[shared]], buckets)
+        shared = np.repeat(doc[heads] != doc[heads + many - 1], many)
+        yield packed.pack_by_key([doc[shared], th[shared]], [least[shared]], buckets)
 
 
 def _candidates(rows, window: int, gram: int):
-    """Windows of a batch whose minimizer is shared: block by block (doc ids, words, starts, texts)."""
-    data, offsets = text_bytes(rows.column("text"))
-    ids = _numbers(rows.column("doc_id"))
+    """Windows of a batch whose minimizer is shared: block by block (keys, words, starts, texts)."""
+    texts = _unzipped(rows.column("zipped"))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    keys = _keys(rows)
     held = rows.column("held").to_pylist()
     for low, high in blocks(offsets):
         words = split_words(data, offsets[low:high + 1], lower=False)
         at, text, least = _minimizers(words, window, gram)
+        least = _half(least)
         keep = np.zeros(len(at), bool)
         first = np.searchsorted(text, np.arange(high - low + 1))
         for d in range(high - low):
-            shared = np.sort(np.frombuffer(held[low + d], np.uint64))
+            shared = np.sort(np.frombuffer(held[low + d], np.uint32))
             part = least[first[d]:first[d + 1]]
             keep[first[d]:first[d + 1]] = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part
-        yield ids[low:high], words, at[keep], text[keep]
+        yield _part(keys, slice(low, high)), words, at[keep], text[keep]
 
 
 def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -170,7 +198,7 @@ def _send_suffixes(batches, window: int, gram: int, buckets: int, frequent):
     """Suffixes to the group of their prefix: as many blocks long as it takes to be rare enough."""
     often = frequent.value
     for rows in batches:
-        for ids, words, at, text in _candidates(rows, window, gram):
+        for keys, words, at, text in _candidates(rows, window, gram):
             edges = _edges(words, at, window)
             prefixes = _prefixes(edges)
             group = prefixes[0].copy()
@@ -182,8 +210,9 @@ def _send_suffixes(batches, window: int, gram: int, buckets: int, frequent):
             # A whole window that is still too frequent is a leaf class of its own, settled by _leaders.
             alone = deeper & _is_in(prefixes[2], often[2])
             keep = ~alone
-            yield packed.pack((mix(group[keep]) % np.uint64(buckets)).astype(np.int32), text[keep], [ids],
-                              [at[keep].astype(np.uint32), *[e[keep] for e in edges]])
+            # The first edge whole and half of the others: 128 bits to tell windows apart by.
+            yield packed.pack((mix(group[keep]) % np.uint64(buckets)).astype(np.int32), text[keep], keys,
+                              [at[keep].astype(np.uint32), edges[0][keep], *[_half(e[keep]) for e in edges[1:]]])
 
 
 def _frequent_places(batches, window: int, gram: int, often):
@@ -191,7 +220,7 @@ def _frequent_places(batches, window: int, gram: int, often):
     often = often.value[2]
     schema = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64())])
     for rows in batches:
-        for ids, words, at, text in _candidates(rows, window, gram):
+        for (ids, _), words, at, text in _candidates(rows, window, gram):
             prefix = _prefixes(_edges(words, at, window))[2]
             hit = _is_in(prefix, often)
             prefix, doc = prefix[hit], ids[text[hit]]
@@ -205,25 +234,25 @@ def _frequent_repeats(batches, window: int, gram: int, buckets: int, leaders):
     """Places of frequent windows in documents after the first one."""
     known, first = leaders.value
     for rows in batches:
-        for ids, words, at, text in _candidates(rows, window, gram):
+        for keys, words, at, text in _candidates(rows, window, gram):
             prefix = _prefixes(_edges(words, at, window))[2]
             slot = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
-            hit = (known[slot] == prefix) & (ids[text] > first[slot])
-            yield packed.pack_by_key(ids[text[hit]], [(at - words.first[text])[hit].astype(np.uint32)], buckets)
+            hit = (known[slot] == prefix) & (keys[0][text] > first[slot])
+            yield packed.pack_by_key(_part(keys, text[hit]), [(at - words.first[text])[hit].astype(np.uint32)], buckets)
 
 
 def _deep_nodes(batches, buckets: int):
     """Places under nodes at least a window deep, in documents after the node's first one."""
-    for (doc,), (at, a, b, c) in packed.gather(batches, [np.int64], [np.uint32, np.uint64, np.uint64, np.uint64]):
+    for (doc, th), (at, a, b, c) in packed.gather(batches, [np.int64] * 2, [np.uint32, np.uint64, np.uint32, np.uint32]):
         order = np.lexsort((doc, c, b, a))
-        doc, at, a, b, c = doc[order], at[order], a[order], b[order], c[order]
+        doc, th, at, a, b, c = doc[order], th[order], at[order], a[order], b[order], c[order]
         # Neighbours in this order have a common prefix of 0 to 3 blocks; 3 is a deep node.
         common = np.zeros(len(a), np.int8)
         common[1:] = np.where(a[1:] != a[:-1], 0, np.where(b[1:] != b[:-1], 1, np.where(c[1:] != c[:-1], 2, 3)))
         heads = np.flatnonzero(common < 3)
         first = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
         later = doc > first
-        yield packed.pack_by_key(doc[later], [at[later]], buckets)
+        yield packed.pack_by_key([doc[later], th[later]], [at[later]], buckets)
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -236,32 +265,33 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def _rewrite(batches, window: int, with_text: bool):
     for rows in batches:
-        texts, held = rows.column("text").to_pylist(), rows.column("held").to_pylist()
+        texts, held = _unzipped(rows.column("zipped")), rows.column("held").to_pylist()
         total, removed, shas, kept = [], [], [], []
         for text, places in zip(texts, held, strict=True):
-            words = (text or "").encode().split()
+            words = text.split()
             gone = covered(len(words), np.frombuffer(places, np.uint32).astype(np.int64), window)
             left = b" ".join(compress(words, ~gone))
             total.append(len(words))
             removed.append(int(gone.sum()))
             shas.append(hashlib.sha256(left).hexdigest())
             kept.append(left.decode() if with_text else None)
-        yield batch(_KEPT, rows.column("doc_id"), total, removed, shas, kept)
+        yield batch(_KEPT, rows.column("doc_id"), rows.column("th"), total, removed, shas, kept)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """Remove every word that lies in a passage already begun in an earlier document.
 
-    ``docs`` needs ``doc_id`` (0 or more) and ``text``; other columns are ignored.  A window is
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A window is
     ``window`` consecutive words (``[^\\x20\\x09-\\x0D]+``, unchanged) of one text; the words of
     a window that also starts in a document with a smaller id go.  Judged on the input as a whole.
     Null and short texts have no window and stay.  Rows with one id count as one document and
-    are each rewritten; rows without an id, or a negative one, stay as they are and take nothing away.
+    are each rewritten by their own text; rows without an id stay as they are and take nothing away.
 
-    Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``with_text``, ``kept``: the words
+    Returns ``doc_id, n_words, n_removed, kept_sha256``, ``th`` (xxhash64 of the text) and, with ``with_text``, ``kept``: the words
     left, joined by one space, for documents that lost some (null: the text stays).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     gram = min(GRAM, window)
     scan = docs.rdd.getNumPartitions()
     parts = shuffle_parts(docs)
@@ -272,10 +302,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, gr
     often = [np.sort(np.array([r.prefix for r in heavy if r.level == k], np.int64).view(np.uint64)) for k in range(3)]
     frequent = context.broadcast(often)
 
-    sent = arrow_map(docs.where("doc_id >= 0"), partial(_send_minimizers, window=window, gram=gram, buckets=2 * parts), packed.SCHEMA)
+    named = docs.where("doc_id IS NOT NULL")
+    sent = arrow_map(named, partial(_send_minimizers, window=window, gram=gram, buckets=2 * parts), packed.SCHEMA)
     shared = arrow_map(sent.repartition(parts, "bucket"), partial(_shared_minimizers, buckets=parts), packed.SCHEMA)
-    shared = cut(_by_doc(shared, np.uint64, parts))
-    marked = docs.join(shared, "doc_id")
+    shared = cut(_by_text(shared, np.uint32, parts))
+    zipped = arrow_map(named, _zip, ZIPPED)
+    marked = zipped.join(shared, ["doc_id", "th"])
+    if len(often[2]):
+        marked = cut(marked)  # read three times
     groups = arrow_map(marked, partial(_send_suffixes, window=window, gram=gram, buckets=2 * parts, frequent=frequent), packed.SCHEMA)
     repeats = arrow_map(groups.repartition(parts, "bucket"), partial(_deep_nodes, buckets=parts), packed.SCHEMA)
     if len(often[2]):
@@ -284,10 +318,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True, gr
         leaders = context.broadcast((np.array([p for p, _ in first], np.uint64), np.array([d for _, d in first], np.int64)))
         repeats = repeats.unionByName(arrow_map(
             marked, partial(_frequent_repeats, window=window, gram=gram, buckets=parts, leaders=leaders), packed.SCHEMA)) if first else repeats
-    repeats = cut(_by_doc(repeats, np.uint32, parts))
+    repeats = cut(_by_text(repeats, np.uint32, parts))
 
-    changed = arrow_map(docs.join(repeats, "doc_id"), partial(_rewrite, window=window, with_text=with_text), KEPT)
-    plain = survey.where("level IS NULL").join(repeats, "doc_id", "left_anti").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("kept"))
+    changed = arrow_map(zipped.join(repeats, ["doc_id", "th"]), partial(_rewrite, window=window, with_text=with_text), KEPT)
+    plain = survey.where("level IS NULL").join(repeats, ["doc_id", "th"], "left_anti").select(
+        "doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("kept"))
     out = plain.unionByName(changed).withColumnRenamed("sha", "kept_sha256")
     return out if with_text else out.drop("kept")
+
+
+def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``; a column ``n_chars`` follows, all others stay.
+
+    No row is lost: rows that share an id keep a text each, rows without an id their text.
+    """
+    changed = remove_repeats(docs, window).where("kept IS NOT NULL").select("doc_id", "th", "kept").dropDuplicates(["doc_id", "th"])
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(changed, ["doc_id", "th"], "left")
+    kept, row = F.col("kept"), F.col("row")
+    new = {"text": F.coalesce(kept, row["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNull(), row["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
