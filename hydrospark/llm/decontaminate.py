@@ -11,7 +11,7 @@ Texts never move: the benchmark goes to them, in blocks of bounded size.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ SIEVE_BITS = 22
 REGION = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("regions", pa.list_(REGION))])
 OUT = "doc_id long, regions array<struct<item_id:long,start:long,end:long,edits:int>>"
+_MORE = pa.schema([_OUT.field(0), ("text", pa.string()), _OUT.field(1)])
+MORE = OUT.replace("regions", "text string, regions", 1)
 
 
 def code_points(raw: bytes) -> np.ndarray:
@@ -63,12 +65,15 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    #: Items too short for a q-gram: found as whole words only.
+    short: list[tuple[int, np.ndarray]]
 
 
 def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE) -> Index:
-    """Items shorter than ``2 * q`` characters are left out; the edit budget is ``rate`` of the
-    length, and at most what keeps the lemma's bound at 1 or more."""
-    kept = [(i, p) for i, p in ((i, code_points(text.strip().encode())) for i, text in items) if len(p) >= 2 * q]
+    """The edit budget is ``rate`` of the length, and at most what keeps the lemma's bound at 1 or
+    more: none under ``2 * q`` characters.  Items under ``q`` characters are matched exactly, as whole words."""
+    seen = [(i, code_points(text.strip().encode())) for i, text in items]
+    kept, short = [(i, p) for i, p in seen if len(p) >= q], [(i, p) for i, p in seen if 0 < len(p) < q]
     length = np.array([len(p) for _, p in kept], np.int64)
     edits = np.minimum((length * rate).astype(np.int64), (length - q) // q)
     grams = [gram_keys(p, q) for _, p in kept]
@@ -79,7 +84,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RAT
     distinct, first = np.unique(keys[order], return_index=True)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[distinct >> np.uint64(64 - SIEVE_BITS)] = True
-    return Index(kept, edits, length - q + 1 - edits * q, distinct, np.append(first, len(keys)), item[order], place[order], sieve)
+    return Index(kept, edits, length - q + 1 - edits * q, distinct, np.append(first, len(keys)), item[order], place[order], sieve, short)
 
 
 def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -172,6 +177,30 @@ def find_regions(index: Index, points: np.ndarray, bounds: np.ndarray, q: int =
     return out
 
 
+def short_regions(index: Index, points: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The same for items under ``q`` characters; neither neighbour may be a letter, a digit or an underscore."""
+    if not index.short:
+        return []
+    letter = np.zeros(len(points) + 2, bool)
+    letter[1:-1] = (points >= 0x80) | (points == 0x5F)
+    for low, high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
+        letter[1:-1] |= (points >= low) & (points < high)
+    # Texts lie side by side: an edge of a text is a border whatever lies beyond.
+    begins, ends = np.zeros(len(points) + 1, bool), np.zeros(len(points) + 1, bool)
+    begins[bounds[:-1]] = ends[bounds[1:]] = True
+    out = []
+    for item_id, pattern in index.short:
+        m = len(pattern)
+        at = np.flatnonzero(points[:max(0, len(points) - m + 1)] == pattern[0])
+        for j in range(1, m):
+            at = at[points[at + j] == pattern[j]]
+        at = at[(begins[at] | ~letter[at]) & (ends[at + m] | ~letter[at + m + 1])]
+        text = np.searchsorted(bounds, at, "right") - 1
+        inside = at + m <= bounds[text + 1]
+        out += [(int(d), item_id, int(a - bounds[d]), int(a - bounds[d]) + m, 0) for d, a in zip(text[inside], at[inside])]
+    return out
+
+
 def _block_regions(texts: pa.Array, index: Index, q: int):
     """Regions of every text of a column, block by block: (low, high, regions per text)."""
     data, offsets = text_bytes(texts)
@@ -180,15 +209,22 @@ def _block_regions(texts: pa.Array, index: Index, q: int):
         heads = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
         bounds = heads[offsets[low:high + 1] - offsets[low]]
         regions: list[list[dict]] = [[] for _ in range(high - low)]
-        for d, item, start, end, edits in find_regions(index, code_points(raw.tobytes()), bounds, q):
+        points = code_points(raw.tobytes())
+        for d, item, start, end, edits in [*find_regions(index, points, bounds, q), *short_regions(index, points, bounds)]:
             regions[d].append({"item_id": item, "start": start, "end": end, "edits": edits})
         yield low, high, regions
 
 
-def _search(batches, index, q: int):
+def _search(batches, index, q: int, more: bool):
+    """Adds an index's regions to those of the passes before; with ``more`` passes to come the texts go along."""
     for rows in batches:
+        before = rows.column("regions").to_pylist() if "regions" in rows.schema.names else None
         for low, high, regions in _block_regions(rows.column("text"), index.value, q):
-            yield batch(_OUT, rows.column("doc_id")[low:high], regions)
+            if before:
+                known = lambda r: (r["item_id"] is not None, r["item_id"], r["start"], r["end"], r["edits"])
+                regions = [sorted([*old, *new], key=known) for old, new in zip(before[low:high], regions)]
+            held = [rows.column("doc_id")[low:high], *([rows.column("text")[low:high]] if more else []), regions]
+            yield batch(_MORE if more else _OUT, *held)
 
 
 def _is_clean(texts: pa.Array, state) -> list[bool]:
@@ -221,14 +257,14 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: floa
 
     ``docs`` needs ``doc_id, text``, ``benchmark`` needs ``item_id, text``; other columns are
     ignored.  Case (A-Z) and the kind of white space don't count as edits.  Null and empty texts have
-    no regions; null items, and items under ``2 * q`` characters, are not searched.  Repeated
+    no regions; null and empty items are not searched.  Repeated
     documents each get a row; repeated items are each reported.  With an empty benchmark every
     document has none.  A benchmark above ``block_chars`` characters is searched in blocks,
     one pass over the texts each, so what a task holds stays bounded.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [arrow_map(docs, partial(_search, index=index, q=q), OUT) for index in _indexes(benchmark, q, rate, block_chars)]
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("regions")))).alias("regions"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    indexes = list(_indexes(benchmark, q, rate, block_chars))
+    for number, index in enumerate(indexes, 1):
+        more = number < len(indexes)
+        found = arrow_map(found, partial(_search, index=index, q=q, more=more), MORE if more else OUT)
     return found
