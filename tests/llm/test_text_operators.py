@@ -327,6 +327,49 @@ PIECES = [("<unk>", 0.0, 2), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)],
           *[(p, s, 1) for p, s in [("▁", -2.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0), ("▁a", -4.5), ("bab", -6.5), ("é", -5.0), ("▁▁", -6.0)]]]
 
 
+def test_short_items_and_rows_of_one_id_in_several_blocks(spark):
+    bench = spark.createDataFrame(
+        [(1, "secret key"), (2, "pin"), (3, "x" * 40), (None, "abcdefgh"), (5, " "), (6, "secret key")], "item_id long, text string")
+    docs = [(7, "the Secret\tkey is here"), (7, "spinning pin, pin_ pin"), (None, "pin"), (None, "zabcdefghz"), (8, "x" * 41), (8, None), (9, "secretkey")]
+    want = sorted([(7, [(1, 4, 14), (6, 4, 14)]), (7, [(2, 9, 12), (2, 19, 22)]), (None, [(2, 0, 3)]), (None, [(None, 1, 9)]),
+                   (8, [(3, 0, 40)]), (8, []), (9, [])], key=repr)
+    for chars in (1_000, 12):
+        made = decontaminate.leaked_regions(table(spark, docs), bench, block_chars=chars).collect()
+        assert sorted(((r.doc_id, [(x.item_id, x.start, x.end) for x in r.regions]) for r in made), key=repr) == want
+    assert decontaminate.without_leaks(table(spark, docs), bench).count() == 2
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_patterned_words_keep_their_own_hash(spark):
+    """For such pairs a sum of powers modulo 2^64 is the same, whatever the odd base."""
+    for n in (512, 1024, 4096):
+        a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+        data, offsets = text_bytes(pa.array([a, b, a]))
+        hashes = split_words(data, offsets, lower=True).hashes
+        assert hashes[0] == hashes[2] != hashes[1]
+    tail = " ".join(f"w{i}" for i in range(12))
+    docs = table(spark, [(1, f"{a} {a} {a} {a}"), (2, f"{b} {b} {b} {b}"), (3, f"{a} {tail}"), (4, f"{b} {tail}")])
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_components(docs, 4, 85).where("doc_id < 3").collect()} == {1: 1, 2: 2}
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(docs, 13).collect())
+    assert all(r.exact for r in pieces.encode_pieces(docs, PIECES).collect())
+
+
+def test_passages_under_shared_negative_and_missing_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(-3, passage + " end"), (5, "start " + passage), (5, "other text of its own " + passage + " more"), (5, "short"), (None, passage), (5, "start " + passage)]
+    docs = spark.createDataFrame([(i, t, 9, "k", "r", "c", "h") for i, t in rows], "doc_id long, text string, n_chars int, _kept string, row string, kept string, th string")
+    made = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).where("doc_id IS NOT NULL").collect())
+    assert made == [(-3, 21, 0), (5, 1, 0), (5, 21, 20), (5, 21, 20), (5, 26, 20)]
+    left = corpus_pipeline.drop_repeated_passages(spark, docs, "")
+    assert left.columns == docs.columns
+    found = sorted(((r.doc_id, r.text, r.n_chars, r._kept) for r in left.collect()), key=repr)
+    assert found == sorted([(-3, rows[0][1], 9, "k"), (5, "start", 5, "k"), (5, "start", 5, "k"), (5, "other text of its own more", 26, "k"),
+                            (5, "short", 9, "k"), (None, passage, 9, "k")], key=repr)
+
+
 def test_pieces(spark, texts):
     model = pieces.build_model(PIECES)
     scores = {p.encode(): (s, i) for i, (p, s, kind) in enumerate(PIECES) if kind == 1}
