@@ -12,7 +12,7 @@ from hydrospark.llm.common import table
 from hydrospark.llm.decontaminate import without_leaks
 from hydrospark.llm.ngram_join import ngram_jaccard_components
 from hydrospark.llm.pieces import encode_pieces
-from hydrospark.llm.substring_dedup import remove_repeats
+from hydrospark.llm.substring_dedup import without_repeats
 from hydrospark.llm.toxicity import without_toxic
 from hydrospark.scratch import scratch_dir
 
@@ -29,14 +29,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 13 or more words that an earlier document has; ``n_chars`` follows."""
-    changed = remove_repeats(docs, window=13).where("kept IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    joined = docs.join(changed, docs["doc_id"] == changed["_id"], "left")
-    new = {"text": F.coalesce("_kept", docs["text"])}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    """Texts without passages of 13 or more words that an earlier document has; ``n_chars`` follows, no row is lost."""
+    return without_repeats(docs, window=13)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
