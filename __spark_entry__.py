@@ -19,7 +19,9 @@ from hydrospark.config import (
 from hydrospark.operators import (
     channels, components, conditioning, flooding, flowgraph, focal, grid, regions, render, routing,
 )
+from hydrospark.operators.iterative_fill import iterative_fill
 from hydrospark.plans.pipeline import extract_channels, run_pipeline
+from hydrospark.schema import cell_id
 from hydrospark.scratch import cut, scratch_dir
 from hydrospark.sources import stages
 from hydrospark.sources import table_rasters as tr
@@ -143,8 +145,38 @@ def fill_policy(spark, sf):
 
 
 def fill_sinks(spark, sf):
-    filled, _, _ = conditioning.fill_sinks_iterative(tr.dem_blocks(spark, sf), max_iterations=2)
-    return _cells(filled, "height", digits=4)
+    """All of the operator's rounds, with how many changed something and whether that was the end."""
+    filled, per_raster = iterative_fill(tr.dem_blocks(spark, sf))
+    return _cells(filled.join(per_raster, "raster_id"), "height", "rounds", "finished", digits=4)
+
+
+def _measures(**frames: DataFrame) -> DataFrame:
+    """One row per name: the number each one-column frame of one row holds."""
+    rows = [df.select(F.lit(name).alias("measure"), F.col(df.columns[0]).cast("long").alias("value")) for name, df in frames.items()]
+    out = rows[0]
+    for one in rows[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def flow_ends(spark, sf):
+    """What every complete routing obeys: no valid cell without a direction, none on a cycle, and what arrives at
+    the ends is all cells."""
+    routed = cut(routing.flow_direction(tr.dem_blocks(spark, sf)))
+    done = flowgraph.flow_accumulation(routed)
+    ends = flowgraph.flow_terminal(routed).where("kind = 'exit'").select("raster_id", "terminal").distinct()
+    at = done.select("raster_id", cell_id().alias("terminal"), "accumulation").join(ends, ["raster_id", "terminal"])
+    return _measures(
+        open_cells=routed.agg(F.count_if(F.col("valid") & (F.col("direction") < 0))), arrived=at.agg(F.sum("accumulation")),
+        on_cycles=flowgraph.flow_cycles(routed).agg(F.count("*")))
+
+
+def cycles_left(spark, sf):
+    """Cells on cycles before and after the repair."""
+    heights = tr.dem_orders(spark, sf)
+    arrows = cut(heights.join(tr.arrows(spark, sf).withColumn("raster_id", F.lit("orders")), ["raster_id", *CELL]))
+    count = lambda g: flowgraph.flow_cycles(g).agg(F.count("*"))
+    return _measures(before=count(arrows), after=count(cut(routing.repair_cycles(arrows))))
 
 
 def component_exit(spark, sf):
@@ -282,6 +314,12 @@ def queries() -> dict[str, Query]:
         "upsample_mask": upsample_mask,
         "scale_area": scale_area,
         "overview": lambda s, d: _cells(grid.overview(_masked(tr.dem_orders, s, d), 50), "height", "valid"),
+        "overview_codes": lambda s, d: _cells(
+            grid.overview(focal.d8_strict(tr.dem_orders(s, d)), 50, means=(), codes={"direction": list(range(-1, 8))}), "direction"),
+        "overview_colors": lambda s, d: _cells(
+            grid.overview(render.render_direction(focal.d8_strict(tr.dem_orders(s, d))), 50, means=tuple("rgb")), *"rgb", digits=3),
+        "pyramid": lambda s, d: (lambda p: p.select("level", "scale", *CELL, *_rounded(p, ["height", "valid"], 3)))(
+            grid.pyramid(_masked(tr.dem_orders, s, d), 50)),
         "edge_contact": lambda s, d: _cells(grid.edge_contact(_masked(tr.dem_orders, s, d)), "edge_contact"),
         "border_values": lambda s, d: _cells(grid.border_values(_masked(tr.dem_orders, s, d)), "height"),
         "box_smooth": lambda s, d: _cells(focal.box_smooth(_masked(tr.dem_orders, s, d), 5), "height", digits=4),
@@ -321,6 +359,8 @@ def queries() -> dict[str, Query]:
         "resolve_residual": resolve_residual,
         "flow_cycles": lambda s, d: _cells(flowgraph.flow_cycles(tr.arrows(s, d)), "cycle"),
         "repair_cycles": repair_cycles,
+        "cycles_left": cycles_left,
+        "flow_ends": flow_ends,
         "flow_direction": lambda s, d: _cells(routing.flow_direction(tr.dem_blocks(s, d)), "direction"),
         "flow_accumulation": lambda s, d: _cells(_valley_accumulated(s, d), "accumulation"),
         "flow_accumulation_noise": lambda s, d: _cells(_valley_accumulated(s, d, tr.dem_orders(s, d)), "accumulation"),

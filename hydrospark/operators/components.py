@@ -36,7 +36,7 @@ def connected_components(
     same = F.lit(0) if same is None else same
     carried = g.columns
     g = cut(g)
-    marked = with_tile(g, side).withColumn("_on", F.coalesce(active, F.lit(False))).withColumn("_val", same)
+    marked = with_tile(g, side).withColumn("_on", F.coalesce(active, F.lit(False))).withColumn("_val", F.coalesce(same, F.lit(0)))  # a NULL would turn a BIGINT into a double on its way
     local = _local_labels(marked, side, tolerance)
 
     rim = cut(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.config import PreprocessConfig
 from hydrospark.schema import KEYS, TILE_KEYS
+from hydrospark.scratch import cut
 from hydrospark.tiling import attach, own_cells, tile_side, with_halo
 
 ANALYSIS_MAX_SIDE = 1536  # fixed value
@@ -210,18 +211,57 @@ def scale_area(pixels, scale) -> Column:
     return F.greatest(F.lit(1), F.ceil(pixels / (scale * scale)).cast("int"))
 
 
-def overview(g: DataFrame, max_side: int) -> DataFrame:
-    """Shrink each raster by block means until its longest side fits ``max_side``."""
-    scale = F.greatest(F.lit(1), F.ceil(F.greatest("n_rows", "n_cols") / max_side).cast("int"))
-    scaled = attach(g, extent(g).select("raster_id", scale.alias("_s")))
-    ok = F.col("valid")
-    n = F.count_if(ok)
-    return scaled.groupBy(
-        "raster_id", F.expr("row div _s").cast("int").alias("row"), F.expr("col div _s").cast("int").alias("col")
-    ).agg(
-        F.coalesce(F.sum(F.when(ok, F.col("height").cast("double"))) / n, F.lit(0.0)).cast("float").alias("height"),
-        (n > 0).alias("valid"),
-    )
+def _code_counts(codes: dict[str, list]) -> list[Column]:
+    return [F.count_if(F.col(name) == code).alias(f"_{name}_{i}") for name, listed in codes.items() for i, code in enumerate(listed)]
+
+
+def pyramid(g: DataFrame, max_side: int, means=("height",), codes: dict[str, list] | None = None, levels: int | None = None) -> DataFrame:
+    """Layers at rising scales: ``raster_id, level, scale, row, col``, the layers and ``valid``.
+
+    Level 0 has the smallest block side by which the longest side fits ``max_side``; each level
+    doubles it, up to ``levels`` (None: until one cell is left).  ``means`` are averaged over
+    valid cells (0 where there are none); ``codes`` lists the values of a layer, of which the
+    most frequent wins (ties: the first listed; NULL where none occurs).  Without a ``valid``
+    column every cell counts.  Cells are read once; a level is added up from the one before, so all are exact.
+    """
+    codes = codes or {}
+    side = F.greatest("n_rows", "n_cols")
+    scale = F.greatest(F.lit(1), F.ceil(side / max_side).cast("int"))
+    top = F.greatest(F.lit(0), F.ceil(F.log2(side / scale)).cast("int"))
+    sizes = cut(extent(g).select("raster_id", scale.alias("scale"), top.alias("_top")))
+    ok = F.col("valid") if "valid" in g.columns else F.lit(True)
+    sums = [F.sum(F.when(ok, F.col(m).cast("double"))).alias(f"_{m}") for m in means]
+    block = lambda name, step: F.floor(F.col(name) / step).cast("int").alias(name)
+    level = attach(g, sizes).withColumn("valid", ok).groupBy(
+        "raster_id", "scale", "_top", block("row", F.col("scale")), block("col", F.col("scale"))).agg(F.count_if("valid").alias("_n"), *sums, *_code_counts(codes))
+    level = cut(level)
+    held = [c for c in level.columns if c not in ("raster_id", "scale", "_top", "row", "col")]
+    deepest = sizes.agg(F.max("_top")).first()[0] or 0
+    stack = [level.withColumn("level", F.lit(0))]
+    for number in range(1, min(deepest + 1, levels if levels is not None else deepest + 1)):
+        level = cut(level.where(F.col("_top") >= number).groupBy(
+            "raster_id", (F.col("scale") * 2).alias("scale"), "_top", block("row", 2), block("col", 2)).agg(*[F.sum(c).alias(c) for c in held]))
+        stack.append(level.withColumn("level", F.lit(number)))
+    every = stack[0]
+    for one in stack[1:]:
+        every = every.unionByName(one)
+    n = F.col("_n")
+    mean = lambda m: F.coalesce(F.col(f"_{m}") / F.when(n > 0, n), F.lit(0.0)).cast("float").alias(m)
+
+    def winner(name, listed):
+        most = F.greatest(*[F.col(f"_{name}_{i}") for i in range(len(listed))])
+        pick = F.when(most == 0, None)
+        for i, code in enumerate(listed):
+            pick = pick.when(F.col(f"_{name}_{i}") == most, F.lit(code))
+        return pick.alias(name)
+
+    return every.select("raster_id", "level", "scale", "row", "col", *[mean(m) for m in means],
+                        *[winner(name, listed) for name, listed in codes.items()], (n > 0).alias("valid"))
+
+
+def overview(g: DataFrame, max_side: int, means=("height",), codes: dict[str, list] | None = None) -> DataFrame:
+    """Shrink the layers of each raster until its longest side fits ``max_side`` (level 0 of ``pyramid``)."""
+    return pyramid(g, max_side, means, codes, levels=1).drop("level", "scale")
 
 
 def edge_contact(g: DataFrame) -> DataFrame:

@@ -165,6 +165,14 @@ add("scale_area", "x AS (SELECT DISTINCT p_size AS s FROM part)",
 add("overview", OM, """SELECT CAST(r // s AS INT) AS "row", CAST(c // s AS INT) AS "col",
   round(coalesce(CAST(CAST(sum(CASE WHEN v THEN h END) / nullif(count(*) FILTER (WHERE v), 0) AS FLOAT) AS DOUBLE), 0), 6) AS height,
   bool_or(v) AS valid FROM cells, (SELECT CAST(greatest(1, ceil(greatest(nr, w) / 50.0)) AS BIGINT) AS s FROM dims) GROUP BY r // s, c // s""")
+BY_50 = ", (SELECT CAST(greatest(1, ceil(greatest(nr, w) / 50.0)) AS BIGINT) AS s FROM dims)"
+PYRAMID = """,
+lv AS (SELECT s, unnest(range(0, CAST(ceil(log2(CAST(greatest(nr, w) AS DOUBLE) / s)) AS BIGINT) + 1)) AS k FROM (
+  SELECT nr, w, CAST(greatest(1, ceil(greatest(nr, w) / 50.0)) AS BIGINT) AS s FROM dims)),
+sized AS (SELECT k, s * CAST(pow(2, k) AS BIGINT) AS z FROM lv)"""
+add("pyramid", OM + PYRAMID, """SELECT CAST(k AS INT) AS level, CAST(z AS INT) AS scale, CAST(r // z AS INT) AS "row", CAST(c // z AS INT) AS "col",
+  round(coalesce(CAST(CAST(sum(CASE WHEN v THEN h END) / nullif(count(*) FILTER (WHERE v), 0) AS FLOAT) AS DOUBLE), 0), 3) AS height,
+  bool_or(v) AS valid FROM cells, sized GROUP BY ALL""")
 add("edge_contact", OM + NB + EDGE, f"SELECT {RC}, e AS edge_contact FROM cells JOIN contact USING (id)")
 add("border_values", OM + BORDER, f"SELECT {RC}, {D('h')} AS height FROM vals")
 add("box_smooth", OM + """,
@@ -239,6 +247,9 @@ add("flow_cycles", A + LOOPS + components(
     "rl", "SELECT id FROM ring", "SELECT src AS a, dst AS b FROM flow JOIN ring x ON x.id = src JOIN ring y ON y.id = dst "
     "UNION ALL SELECT dst, src FROM flow JOIN ring x ON x.id = src JOIN ring y ON y.id = dst"),
     f"SELECT {RC}, {ID.format('lab')} AS cycle FROM cells JOIN rl USING (id), dims")
+# What any complete routing obeys, whatever way it chose.
+add("flow_ends", DIMS, "SELECT 'open_cells' AS measure, CAST(0 AS BIGINT) AS value UNION ALL SELECT 'on_cycles', 0 UNION ALL SELECT 'arrived', count(*) FROM grid")
+add("cycles_left", A + LOOPS, "SELECT 'before' AS measure, CAST(count(*) AS BIGINT) AS value FROM ring UNION ALL SELECT 'after', 0")
 add("flow_kind", A + LOOPS, f"SELECT {RC}, CASE WHEN stuck.id IS NULL THEN 'exit' ELSE 'cycle' END AS kind FROM cells LEFT JOIN stuck USING (id)")
 add("cycle_guard", A + LOOPS, "SELECT CAST(count(*) AS BIGINT) AS stuck FROM stuck")
 add("flow_accumulation", V + NB + STRICT + FLOW + WALK + ACC, f"SELECT {RC}, CAST(a AS BIGINT) AS accumulation FROM cells JOIN acc USING (id)")
@@ -260,6 +271,11 @@ PALETTE = """,
 pal(i, pr, pg, pb) AS (VALUES (0,54,116,181),(1,102,170,255),(2,70,172,124),(3,145,206,108),(4,214,165,61),(5,220,116,69),
   (6,188,81,83),(7,130,98,173),(-1,18,24,32))"""
 add("render_direction", O + NB + STRICT + PALETTE, f"SELECT {RC}, CAST(pr AS INT) AS r, CAST(pg AS INT) AS g, CAST(pb AS INT) AS b FROM strict JOIN pal ON pal.i = strict.d")
+add("overview_codes", O + NB + STRICT + f""",
+votes AS (SELECT r // s AS r, c // s AS c, d, count(*) AS n FROM strict{BY_50} GROUP BY ALL)""",
+    f"SELECT {RC}, CAST(arg_min(d, [-n, d]) AS INT) AS direction FROM votes GROUP BY r, c")
+add("overview_colors", O + NB + STRICT + PALETTE, """SELECT CAST(r // s AS INT) AS "row", CAST(c // s AS INT) AS "col", """ + ", ".join(
+    f"round(CAST(CAST(avg(p{k}) AS FLOAT) AS DOUBLE), 3) AS {k}" for k in "rgb") + f" FROM strict JOIN pal ON pal.i = strict.d{BY_50} GROUP BY r // s, c // s")
 add("render_accumulation", V + NB + STRICT + FLOW + WALK + ACC + """,
 x AS (SELECT id, ln(1.0 + a) AS t FROM acc), s AS (SELECT min(t) AS lo, max(t) AS hi FROM x)""",
     f"SELECT {RC}, CAST(CASE WHEN hi > lo THEN trunc((t - lo) / (hi - lo) * 255.0) ELSE 0 END AS INT) AS gray FROM cells JOIN x USING (id), s")
