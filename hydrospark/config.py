@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Layers in display order (bottom to top) with the stage that writes them.
+LAYERS = [
+    ("input_preview", "io"), ("user_mask", "io"), ("auto_mask", "preprocess"), ("terrain_preprocessed", "preprocess"),
+    ("fill_depth", "preprocess"), ("flow_direction", "flow_direction"),
+    ("flow_accumulation", "flow_accumulation"), ("channel_mask", "channel_extract"),
+]
 STAGES = ["io", "preprocess", "flow_direction", "flow_accumulation", "channel_extract"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from hydrospark.config import LAYERS
 from hydrospark.schema import KEYS
 from hydrospark.tiling import attach
 
@@ -16,11 +16,8 @@ DIRECTION_COLORS = [
 ]
 NO_DIRECTION_COLOR = (18, 24, 32)
 CHANNEL_COLOR = (121, 210, 255, 255)
-# Layers from bottom to top, their opacity and their blend mode.
-LAYER_ORDER = [
-    "input_preview", "user_mask", "auto_mask", "terrain_preprocessed",
-    "fill_depth", "flow_direction", "flow_accumulation", "channel_mask",
-]
+LAYER_ORDER = [layer for layer, _ in LAYERS]
+# Opacity and blend mode of the layers.
 LAYER_OPACITY = {"input_preview": 1.0, "channel_mask": 1.0, "user_mask": 0.9, "auto_mask": 0.88, "fill_depth": 0.62}
 OTHER_OPACITY = 0.72
 LAYER_BLEND = {"user_mask": "lighten", "auto_mask": "lighten", "fill_depth": "lighten"}

@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from hydrospark.config import PipelineConfig, PreprocessConfig
+from hydrospark.config import STAGES, ChannelExtractConfig, FlowDirectionConfig, PipelineConfig, PreprocessConfig
+from hydrospark.operators import grid
 from hydrospark.plans.pipeline import run_pipeline
 from hydrospark.sources import rasters, stages
 
@@ -67,10 +70,37 @@ def test_pause_continue_and_reuse(spark, picture, tmp_path):
     tables = {s: stages.read_stage(spark, run_dir, s) for s in partial.completed}
     ready = {r["layer"]: r["status"] for r in stages.layer_catalog(tables).collect()}
     assert ready["channel_mask"] == "ready" and ready["user_mask"] == "pending"
+    where = {r["layer"]: (r["path"], r["preview_path"]) for r in stages.layer_catalog(tables, run_dir=run_dir).collect()}
+    assert where["flow_direction"] == (f"{run_dir}/flow_direction", f"{run_dir}/previews/flow_direction")
+    assert where["user_mask"] == (None, None)
+    assert stages.read_preview(spark, run_dir, "channel_mask").count() == 64
     fresh = run_pipeline(cells, run_dir, cfg, end_stage="io", inherit=False)
     assert fresh.ran == ["io"] and fresh.completed == ["io"]
 
 
+def test_a_changed_setting_or_input_reruns_from_the_first_touched_stage(spark, picture, tmp_path):
+    run_dir = str(tmp_path / "run")
+    cells = rasters.read_rasters(spark, str(picture / "valley.pgm"), "pgm")
+    cfg = lambda t, w=1.0: PipelineConfig(
+        preprocess=PreprocessConfig(fill_sink_algorithm="priority_flood"), flow_direction=FlowDirectionConfig(slope_weight=w),
+        channel_extract=ChannelExtractConfig(t))
+    run = lambda c, config: run_pipeline(c, run_dir, config, previews=False).ran
+    assert run(cells, cfg(5)) == STAGES
+    assert run(cells.repartition(3), cfg(5)) == []
+    assert run(cells, cfg(6)) == ["channel_extract"]
+    assert run(cells, cfg(6, 2.0)) == STAGES[2:]
+    assert run(cells.withColumn("height", F.col("height") + 1), cfg(6, 2.0)) == STAGES
+    # A stage whose manifest was never written is not finished.
+    stages.write_text(spark, f"{run_dir}/flow_direction/{stages.MANIFEST}", '{"fingerprint": null}')
+    assert run(cells.withColumn("height", F.col("height") + 1), cfg(6, 2.0)) == STAGES[2:]
+
+
+def test_previews_fit_their_side(spark, cells):
+    table = cells(height=np.arange(600 * 3).reshape(3, 600) % 256)
+    small = grid.overview(table.select("raster_id", "row", "col", F.col("height").alias("gray")), 512, means=("gray",))
+    assert small.agg(F.max("col")).first()[0] == 299 and small.where("row = 0 AND col = 0").first()["gray"] == (0 + 1 + 88 + 89) / 4
+
+
 def test_raster_ids_do_not_collide(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
