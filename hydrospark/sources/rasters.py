@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,10 @@ from hydrospark.grouped import ship_package
 from hydrospark.schema import KEYS
 
 CELLS = "raster_id string, row int, col int, height float, valid boolean"
-ROWS_PER_BATCH = 256
+COLORS = CELLS + ", r int, g int, b int, a int"
+STRIP_BYTES = 8 << 20
+#: Stores whose byte ranges a task can read by itself; files elsewhere come whole, through Spark (2 GB at most).
+RANGED = ("file", "hdfs", "s3", "gs", "abfs")
 
 
 def raster_name(path: str = "path") -> Column:
@@ -31,69 +35,133 @@ def _named(files: DataFrame, path: str, short_names: bool) -> Column:
     return raster_name(path)
 
 
-def read_rasters(spark: SparkSession, path: str, format: str = "image", short_names: bool = False) -> DataFrame:
+def read_rasters(spark: SparkSession, path: str, format: str = "image", short_names: bool = False, colors: bool = False) -> DataFrame:
     """Cells of gray or colour images: ``image`` (PNG, JPEG, BMP) or ``pgm``.
 
-    Colours become gray by (19595 R + 38470 G + 7471 B + 32768) >> 16.  A raster's id is its
-    path; with ``short_names`` its file name, and two files of one name raise.  An image
-    that can't be read raises.  One image must fit a row (2 GB).
+    Colours become gray by (19595 R + 38470 G + 7471 B + 32768) >> 16; with ``colors`` the columns
+    ``r, g, b, a`` keep them (gray images: three equal ones; without alpha: 255).  A raster's id is its
+    path; with ``short_names`` its file name, and two files of one name raise.  An image that can't be read
+    raises.  An image of the first kind must fit a row (2 GB); a raw PGM of any size is read in strips.
     """
     if format == "pgm":
-        return _read_pgm(spark, path, short_names)
+        cells = _read_pgm(spark, path, short_names)
+        return cells.select("*", *[F.col("height").cast("int").alias(c) for c in "rgb"], F.lit(255).alias("a")) if colors else cells
     if format != "image":
         raise ValueError("format must be 'image' or 'pgm'")
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     unreadable = F.raise_error(F.concat(F.lit("not a readable image: "), F.col("origin"))).cast("int")
     images = images.withColumn("width", F.when((F.col("width") > 0) & (F.col("nChannels") > 0), F.col("width")).otherwise(unreadable))
-    # One row per raster row first, so that a large image spreads before its pixels are unpacked.
-    strips = images.select(
-        _named(images, "origin", short_names).alias("raster_id"), "width", "nChannels",
-        F.posexplode(F.expr("transform(sequence(0, height - 1), r -> substring(data, r * width * nChannels + 1, width * nChannels))")).alias("row", "strip"),
-    ).repartition("raster_id", "row")
-    pixels = strips.select(
-        "raster_id", "row", "nChannels",
-        F.posexplode(F.expr("transform(sequence(0, width - 1), c -> substring(strip, c * nChannels + 1, nChannels))")).alias("col", "px"),
-    )
-    byte = lambda i: F.conv(F.hex(F.expr(f"substring(px, {i}, 1)")), 16, 10).cast("int")
-    # Colour bytes are stored blue, green, red.
-    gray = F.when(F.col("nChannels") == 1, byte(1)).otherwise(
-        F.shiftright(byte(3) * 19595 + byte(2) * 38470 + byte(1) * 7471 + 32768, 16))
-    return pixels.select(*KEYS, gray.cast("float").alias("height"), F.lit(True).alias("valid"))
+    # Strips of some rows first, so that a large image spreads before its pixels are unpacked.
+    rows = F.greatest(F.lit(1), F.floor(F.lit(STRIP_BYTES) / (F.col("width") * F.col("nChannels"))).cast("int"))
+    sized = images.select(_named(images, "origin", short_names).alias("raster_id"), "width", "height", "nChannels", "data", rows.alias("rows"))
+    strips = sized.select("raster_id", "width", "nChannels", F.explode(F.expr(
+        "transform(sequence(0, height - 1, rows), r -> struct(r AS first, substring(data, r * width * nChannels + 1, rows * width * nChannels) AS strip))")).alias("s"))
+    strips = strips.select("raster_id", "width", "nChannels", "s.*").repartition("raster_id", "first")
+    ship_package(spark)
+    cells = strips.mapInPandas(_unpack_image, COLORS)
+    return cells if colors else cells.drop("r", "g", "b", "a")
+
+
+def _cells_of(name: str, first: int, bands: dict[str, np.ndarray]) -> pd.DataFrame:
+    shape = next(iter(bands.values())).shape
+    r, c = np.indices(shape)
+    return pd.DataFrame({"raster_id": name, "row": (r + first).ravel(), "col": c.ravel(), "valid": True} | {k: v.ravel() for k, v in bands.items()})
+
+
+def _unpack_image(batches):
+    for batch in batches:
+        for name, width, channels, first, strip in zip(*(batch[c] for c in ("raster_id", "width", "nChannels", "first", "strip"))):
+            px = np.frombuffer(strip, np.uint8).reshape(-1, width, channels).astype(np.int32)
+            # Colour bytes are stored blue, green, red, and alpha where there is one.
+            b, g, r = (px[:, :, i] for i in ((0, 1, 2) if channels >= 3 else (0, 0, 0)))
+            gray = (r * 19595 + g * 38470 + b * 7471 + 32768) >> 16 if channels >= 3 else r
+            alpha = px[:, :, 3] if channels == 4 else np.full(gray.shape, 255, np.int32)
+            yield _cells_of(name, first, {"height": gray.astype(np.float32), "r": r, "g": g, "b": b, "a": alpha})[
+                ["raster_id", "row", "col", "height", "valid", *"rgba"]]
+
+
+PGM_HEAD = re.compile(rb"(P[25])(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)\s")
 
 
-def _pgm_rows(content: bytes):
-    """Width, height and gray rows of a P2 or P5 file."""
-    head = re.match(rb"(P[25])(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)\s", content)
+def _head(start: bytes):
+    """Kind, width, height, highest value and where the values begin."""
+    head = PGM_HEAD.match(start)
     if head is None:
         raise ValueError("not a P2 or P5 gray map")
-    width, height, top = (int(head.group(i)) for i in (2, 3, 4))
-    body = content[head.end():]
-    if head.group(1) == b"P2":
+    return head.group(1).decode(), *(int(head.group(i)) for i in (2, 3, 4)), head.end()
+
+
+def _gray(kind: str, body: bytes, width: int, rows: int, top: int) -> np.ndarray:
+    if kind == "P2":
         values = np.array(re.sub(rb"#[^\n]*", b"", body).split(), dtype=np.int64)
     else:
-        values = np.frombuffer(body, dtype=np.uint8 if top < 256 else ">u2", count=width * height)
-    values = values.reshape(height, width)
+        values = np.frombuffer(body, dtype=np.uint8 if top < 256 else ">u2", count=width * rows).astype(np.int64)
+    values = values.reshape(rows, width)
     return values if top == 255 else values * 255 // top
 
 
-def _read_pgm(spark: SparkSession, path: str, short_names: bool) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    files = files.select(_named(files.select("path"), "path", short_names).alias("raster_id"), "content")
+def _open(path: str):
+    store, inside = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return store.open_input_file(inside)
+
+
+STRIPS = "raster_id string, path string, kind string, width int, top int, first int, rows int, start long, bytes long"
+
+
+def _plan_strips(batches):
+    """The strips of each file, from its head alone; text files are one strip, as their rows lie anywhere."""
+    for batch in batches:
+        out = []
+        for name, path, length in zip(batch["raster_id"], batch["path"], batch["length"]):
+            with _open(path) as file:
+                kind, width, height, top, start = _head(file.read_at(min(int(length), 1 << 16), 0))
+            if kind == "P2":
+                out.append((name, path, kind, width, top, 0, height, start, int(length) - start))
+                continue
+            line = width * (1 if top < 256 else 2)
+            rows = max(1, STRIP_BYTES // line)
+            out += [(name, path, kind, width, top, first, min(rows, height - first), start + first * line, min(rows, height - first) * line)
+                    for first in range(0, height, rows)]
+        yield pd.DataFrame(out, columns=["raster_id", "path", "kind", "width", "top", "first", "rows", "start", "bytes"])
+
+
+def _read_strips(batches):
+    for batch in batches:
+        for s in batch.itertuples(index=False):
+            with _open(s.path) as file:
+                body = file.read_at(s.bytes, s.start)
+            if len(body) < s.bytes:
+                raise ValueError(f"{s.path} ends before its last row")
+            gray = _gray(s.kind, body, s.width, s.rows, s.top)
+            yield _cells_of(s.raster_id, s.first, {"height": gray.astype(np.float32)})[["raster_id", "row", "col", "height", "valid"]]
+
+
+def _read_whole(batches):
+    for batch in batches:
+        for name, content in zip(batch["raster_id"], batch["content"]):
+            kind, width, height, top, start = _head(content)
+            gray = _gray(kind, content[start:], width, height, top).astype(np.float32)
+            rows = max(1, STRIP_BYTES // width)
+            for first in range(0, height, rows):
+                yield _cells_of(name, first, {"height": gray[first:first + rows]})[["raster_id", "row", "col", "height", "valid"]]
+
+
+def pgm_strips(spark: SparkSession, path: str, short_names: bool = False) -> DataFrame:
+    """One row per strip of some 8 MB, each read by a task of its own."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    named = files.select(_named(files, "path", short_names).alias("raster_id"), "path", "length")
     ship_package(spark)
+    return named.mapInPandas(_plan_strips, STRIPS)
 
-    def unpack(batches):
-        for batch in batches:
-            for name, content in zip(batch["raster_id"], batch["content"]):
-                gray = _pgm_rows(content)
-                for start in range(0, len(gray), ROWS_PER_BATCH):
-                    part = gray[start:start + ROWS_PER_BATCH]
-                    r, c = np.indices(part.shape)
-                    yield pd.DataFrame({
-                        "raster_id": name, "row": (r + start).ravel(), "col": c.ravel(),
-                        "height": part.ravel().astype(np.float32), "valid": True,
-                    })
-
-    return files.mapInPandas(unpack, CELLS)
+
+def _read_pgm(spark: SparkSession, path: str, short_names: bool) -> DataFrame:
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path)
+    ranged = F.regexp_extract("path", "^([a-z0-9]+):", 1).isin(*RANGED)
+    if files.select("path").where(~ranged).isEmpty():
+        return pgm_strips(spark, path, short_names).repartition("path", "first").mapInPandas(_read_strips, CELLS)
+    whole = files.select(_named(files.select("path"), "path", short_names).alias("raster_id"), "content")
+    return whole.mapInPandas(_read_whole, CELLS)
 
 
 def read_masks(spark: SparkSession, path: str, format: str = "image") -> DataFrame:

@@ -1,9 +1,14 @@
+import os
+import struct
+import zlib
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.config import STAGES, ChannelExtractConfig, FlowDirectionConfig, PipelineConfig, PreprocessConfig
-from hydrospark.operators import grid
+from hydrospark.operators import grid, render
 from hydrospark.plans.pipeline import run_pipeline
 from hydrospark.sources import rasters, stages
 
@@ -41,8 +46,59 @@ def test_bmp_through_the_image_source(spark, tmp_path):
     assert got == {(0, 0): 76.0, (0, 1): 255.0, (1, 0): 29.0, (1, 1): 150.0}
 
 
+def png(rows, kind):
+    """A PNG of 8-bit pixels: kind 0 gray, 2 colour, 6 colour with alpha."""
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, kind, 0, 0, 0)
+    flat = b"".join(b"\0" + bytes(v for px in row for v in (px if isinstance(px, tuple) else (px,))) for row in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(flat)) + chunk(b"IEND", b"")
+
+
+def test_colours_and_alpha_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rasters, "STRIP_BYTES", 8)
+    shown = {"gray": ([[1, 200], [3, 4], [5, 6]], 0), "colour": ([[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (10, 20, 30)]], 2),
+             "clear": ([[(255, 0, 0, 7), (0, 0, 255, 255)], [(9, 9, 9, 0), (1, 2, 3, 128)]], 6)}
+    for name, (rows, kind) in shown.items():
+        (tmp_path / f"{name}.png").write_bytes(png(rows, kind))
+    got = {}
+    for r in rasters.read_rasters(spark, str(tmp_path / "*.png"), short_names=True, colors=True).collect():
+        got[r["raster_id"], r["row"], r["col"]] = (r["height"], r["r"], r["g"], r["b"], r["a"])
+    for name, (rows, kind) in shown.items():
+        for i, row in enumerate(rows):
+            for j, px in enumerate(row):
+                r, g, b, a = (px, px, px, 255) if kind == 0 else (*px, 255)[:4]
+                gray = px if kind == 0 else (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
+                assert got.pop((name, i, j)) == (gray, r, g, b, a)
+    assert not got
+    both = rasters.read_rasters(spark, str(tmp_path / "colour.png"), short_names=True, colors=True)
+    mask = both.select("raster_id", "row", "col", (F.col("row") == 0).alias("mask"))
+    seen = {(r["row"], r["col"]): (r["r"], r["g"], r["b"], r["a"]) for r in render.render_input(both, mask).collect()}
+    assert seen == {(0, 0): (255, 0, 0, 255), (0, 1): (0, 255, 0, 255), (1, 0): (0, 0, 0, 0), (1, 1): (0, 0, 0, 0)}
+
+
+def test_a_raw_gray_map_is_read_in_strips(spark, tmp_path, monkeypatch):
+    wide = np.arange(40 * 7).reshape(40, 7) * 200
+    (tmp_path / "deep.pgm").write_bytes(b"P5 7 40 65535\n" + wide.astype(">u2").tobytes())
+    (tmp_path / "cut.pgm").write_bytes(b"P5 7 40 65535\n" + wide.astype(">u2").tobytes()[:-2])
+    monkeypatch.setattr(rasters, "STRIP_BYTES", 60)
+    plan = [(s["kind"], s["first"], s["rows"], s["start"]) for s in rasters._plan_strips(iter([pd.DataFrame(
+        {"raster_id": ["d"], "path": [f"file:{tmp_path}/deep.pgm"], "length": [574]})])).__next__().to_dict("records")]
+    assert plan == [("P5", i, 4, 14 + i * 14) for i in range(0, 40, 4)]
+    # A file far above 2 GB is planned from its head alone.
+    (tmp_path / "huge.pgm").write_bytes(b"P5 100000 100000 255\n")
+    monkeypatch.setattr(rasters, "STRIP_BYTES", 8 << 20)
+    huge = rasters.pgm_strips(spark, str(tmp_path / "huge.pgm"))
+    assert huge.count() > 1000 and huge.agg(F.sum("rows"), F.sum("bytes")).first()[:] == (100_000, 10**10)
+    got = {(r["row"], r["col"]): r["height"] for r in rasters.read_rasters(spark, str(tmp_path / "deep.pgm"), "pgm").collect()}
+    assert got == {(i, j): float(wide[i, j] * 255 // 65535) for i in range(40) for j in range(7)}
+    with pytest.raises(Exception, match="ends before its last row"):
+        rasters.read_rasters(spark, str(tmp_path / "cut.pgm"), "pgm").collect()
+
+
 def test_catalog_lists_files(spark, picture):
+    os.utime(picture / "valley.pgm", (1_000_000, 1_000_000))
     found = rasters.raster_catalog(spark, str(picture / "*.pgm"), "input").collect()
+    assert [r["filename"] for r in found] == ["raw.pgm", "valley.pgm"]  # newest first
     assert {r["filename"] for r in found} == {"valley.pgm", "raw.pgm"} and all(r["size_bytes"] > 0 for r in found)
 
 
