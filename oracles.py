@@ -224,6 +224,26 @@ st AS (SELECT f.lab, s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(
   FROM seg s JOIN flat f ON f.id = s.id JOIN drops ON drops.id = s.id JOIN cells ON cells.id = s.id GROUP BY f.lab, s.lab)""",
     f"SELECT {ID.format('lab')} AS label, CAST(row_number() OVER (PARTITION BY lab ORDER BY seg) - 1 AS INT) AS segment, "
     "round(strength, 6) AS strength, round(cr, 6) AS center_row, round(cc, 6) AS center_col, CAST(st.n AS BIGINT) AS n_cells FROM st, dims")
+add("assign_segments", B + NB + FLATS + DROPS + SEGMENTS + """,
+st AS MATERIALIZED (SELECT s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(*)) AS strength FROM seg s JOIN drops ON drops.id = s.id GROUP BY s.lab),
+same AS MATERIALIZED (SELECT nb.id AS a, nb.nid AS b FROM nb JOIN flat f ON f.id = nb.id JOIN flat g ON g.id = nb.nid AND g.lab = f.lab),
+far(seg, id, d) USING KEY (seg, id) AS (SELECT lab, id, 0 FROM seg UNION
+  SELECT x.seg, same.b, min(x.d) + 1 FROM far x JOIN same ON same.a = x.id
+  LEFT JOIN recurring.far AS o ON o.seg = x.seg AND o.id = same.b WHERE o.id IS NULL GROUP BY x.seg, same.b),
+best AS (SELECT far.id, arg_min(struct_pack(seg := far.seg, d := d, strength := strength),
+  [CAST(round(strength * -1500000.0) AS BIGINT) + d * 1000000, far.seg]) AS b FROM far JOIN st ON st.seg = far.seg GROUP BY far.id)""",
+    f"SELECT {RC}, {ID.format('flat.lab')} AS label, {ID.format('b.seg')} AS seg_of, CAST(b.d AS INT) AS dist, round(b.strength, 6) AS strength "
+    "FROM cells JOIN flat USING (id) LEFT JOIN best USING (id), dims")
+add("preprocess", OM.replace("cells AS MATERIALIZED", "cells0 AS MATERIALIZED") + """,
+sm AS (SELECT a.id, avg(CAST(b.h AS DOUBLE)) AS m FROM cells0 a JOIN cells0 b ON b.v AND b.r BETWEEN a.r - 1 AND a.r + 1
+  AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.id),
+cells AS MATERIALIZED (SELECT id, r, c, CASE WHEN v THEN CAST(CAST(m AS FLOAT) AS DOUBLE) ELSE h END AS h, v FROM cells0 LEFT JOIN sm USING (id))"""
+    + NB + EDGE + """,
+wet(id, l) USING KEY (id) AS (SELECT c.id, CASE WHEN e THEN c.h ELSE 1e9 END FROM cells c JOIN contact USING (id) WHERE c.v UNION
+  SELECT nb.nid, min(greatest(x.l, nb.nh)) FROM wet x JOIN nb ON nb.id = x.id AND nb.nv JOIN recurring.wet AS y ON y.id = nb.nid
+  GROUP BY nb.nid, y.l HAVING min(greatest(x.l, nb.nh)) < y.l)""",
+    f"SELECT {RC}, round(coalesce(l, h), 4) AS height, v AS valid, round(h, 4) AS texture_height, "
+    "round(CAST(CAST(CASE WHEN v THEN l - h ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS fill_depth FROM cells LEFT JOIN wet USING (id)")
 add("fill_depressions", B + NB + FLOOD, f"SELECT {RC}, {D('f')} AS height, {D('CASE WHEN v THEN f - h ELSE 0 END')} AS fill_depth FROM filled")
 add("fill_depressions_capped", B + NB + FLOOD, f"SELECT {RC}, {D('CASE WHEN v THEN least(f, h + 2) ELSE h END')} AS height FROM filled")
 add("fill_audit", B + NB + FLOOD, f"""SELECT CAST(count(*) FILTER (WHERE v AND f > h) AS BIGINT) AS changed,
