@@ -224,16 +224,40 @@ st AS (SELECT f.lab, s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(
   FROM seg s JOIN flat f ON f.id = s.id JOIN drops ON drops.id = s.id JOIN cells ON cells.id = s.id GROUP BY f.lab, s.lab)""",
     f"SELECT {ID.format('lab')} AS label, CAST(row_number() OVER (PARTITION BY lab ORDER BY seg) - 1 AS INT) AS segment, "
     "round(strength, 6) AS strength, round(cr, 6) AS center_row, round(cc, 6) AS center_col, CAST(st.n AS BIGINT) AS n_cells FROM st, dims")
-add("assign_segments", B + NB + FLATS + DROPS + SEGMENTS + """,
-st AS MATERIALIZED (SELECT s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(*)) AS strength FROM seg s JOIN drops ON drops.id = s.id GROUP BY s.lab),
+ASSIGNED = FLATS + DROPS + SEGMENTS + """,
+st AS MATERIALIZED (SELECT s.lab AS seg, avg(CAST(d AS DOUBLE)) + 0.35 * ln(1 + count(*)) AS strength, avg(r) AS cr, avg(c) AS cc
+  FROM seg s JOIN drops ON drops.id = s.id JOIN cells ON cells.id = s.id GROUP BY s.lab),
 same AS MATERIALIZED (SELECT nb.id AS a, nb.nid AS b FROM nb JOIN flat f ON f.id = nb.id JOIN flat g ON g.id = nb.nid AND g.lab = f.lab),
 far(seg, id, d) USING KEY (seg, id) AS (SELECT lab, id, 0 FROM seg UNION
   SELECT x.seg, same.b, min(x.d) + 1 FROM far x JOIN same ON same.a = x.id
   LEFT JOIN recurring.far AS o ON o.seg = x.seg AND o.id = same.b WHERE o.id IS NULL GROUP BY x.seg, same.b),
-best AS (SELECT far.id, arg_min(struct_pack(seg := far.seg, d := d, strength := strength),
-  [CAST(round(strength * -1500000.0) AS BIGINT) + d * 1000000, far.seg]) AS b FROM far JOIN st ON st.seg = far.seg GROUP BY far.id)""",
+best AS MATERIALIZED (SELECT far.id, arg_min(struct_pack(seg := far.seg, d := d, strength := strength, cr := cr, cc := cc),
+  [CAST(round(strength * -1500000.0) AS BIGINT) + d * 1000000, far.seg]) AS b FROM far JOIN st ON st.seg = far.seg GROUP BY far.id)"""
+add("assign_segments", B + NB + ASSIGNED,
     f"SELECT {RC}, {ID.format('flat.lab')} AS label, {ID.format('b.seg')} AS seg_of, CAST(b.d AS INT) AS dist, round(b.strength, 6) AS strength "
     "FROM cells JOIN flat USING (id) LEFT JOIN best USING (id), dims")
+
+
+def flat_choice(texture: str) -> str:
+    """``choice(id, i)``: the best scored neighbour of the same segment that is nearer to it."""
+    scaled = lambda x: f"CASE WHEN top_{x} > 0 THEN CAST(CAST({x} AS DOUBLE) / CAST(top_{x} AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END"
+    weight = lambda w: f"CAST({w} AS FLOAT)"
+    return ASSIGNED + f""",
+score AS MATERIALIZED (SELECT nb.id, nb.i, {texture} AS tex,
+  CAST((x.b.d - y.b.d) / CAST(greatest(x.b.d, 1) AS DOUBLE) AS FLOAT) AS esc, CAST(x.b.strength / (1.0::DOUBLE + y.b.d) AS FLOAT) AS prox,
+  CAST(CASE WHEN gl > 0 THEN greatest(0.0, (dr * gr + dc * gc) / (sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * gl)) ELSE 0.0 END AS FLOAT) AS cont
+  FROM nb JOIN best x ON x.id = nb.id JOIN best y ON y.id = nb.nid AND y.b.seg = x.b.seg AND y.b.d < x.b.d JOIN steps k ON k.i = nb.i
+  JOIN (SELECT id, b.cr - r AS gr, b.cc - c AS gc, sqrt((b.cr - r) * (b.cr - r) + (b.cc - c) * (b.cc - c)) AS gl FROM best JOIN cells USING (id)) goal ON goal.id = nb.id),
+tops AS (SELECT id, max(tex) AS top_tex, max(prox) AS top_prox, max(cont) AS top_cont FROM score GROUP BY id),
+total AS (SELECT id, i, CAST(CAST(CAST(CAST({scaled("tex")} * {weight(1.0)} AS FLOAT) + esc * {weight(0.6)} AS FLOAT)
+  + {scaled("prox")} * {weight(0.4)} AS FLOAT) + {scaled("cont")} * {weight(0.3)} AS FLOAT) AS t FROM score JOIN tops USING (id)),
+choice AS MATERIALIZED (SELECT id, arg_min(i, [-t, i]) AS i FROM total WHERE t > 0 GROUP BY id)"""
+
+
+add("flat_directions", B + NB + flat_choice("CAST(greatest(0.0, nb.h - nb.nh) AS FLOAT)"),
+    f"SELECT {RC}, CAST(coalesce(i, -1) AS INT) AS flat_direction FROM cells LEFT JOIN choice USING (id)")
+add("resolve_flats", B + NB + STRICT + flat_choice("CAST(0 AS FLOAT)"),
+    f"SELECT {RC}, CAST(CASE WHEN d = -1 THEN coalesce(i, -1) ELSE d END AS INT) AS direction FROM strict LEFT JOIN choice USING (id)")
 add("preprocess", OM.replace("cells AS MATERIALIZED", "cells0 AS MATERIALIZED") + """,
 sm AS (SELECT a.id, avg(CAST(b.h AS DOUBLE)) AS m FROM cells0 a JOIN cells0 b ON b.v AND b.r BETWEEN a.r - 1 AND a.r + 1
   AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.id),
