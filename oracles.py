@@ -258,6 +258,29 @@ add("flat_directions", B + NB + flat_choice("CAST(greatest(0.0, nb.h - nb.nh) AS
     f"SELECT {RC}, CAST(coalesce(i, -1) AS INT) AS flat_direction FROM cells LEFT JOIN choice USING (id)")
 add("resolve_flats", B + NB + STRICT + flat_choice("CAST(0 AS FLOAT)"),
     f"SELECT {RC}, CAST(CASE WHEN d = -1 THEN coalesce(i, -1) ELSE d END AS INT) AS direction FROM strict LEFT JOIN choice USING (id)")
+EXITS = STRICT + flat_choice("CAST(0 AS FLOAT)") + """,
+dirs AS MATERIALIZED (SELECT s.id, s.v, CASE WHEN d = -1 THEN coalesce(i, -1) ELSE d END AS d FROM strict s LEFT JOIN choice USING (id))""" + mask_components(
+    "un", "SELECT id FROM dirs WHERE v AND d < 0") + """,
+flow AS MATERIALIZED (SELECT s.id AS src, nb.nid AS dst FROM dirs s JOIN nb ON nb.id = s.id AND nb.i = s.d WHERE nb.nid IS NOT NULL)""" + WALK + """,
+ends AS MATERIALIZED (SELECT e.src AS id, u.lab AS catch, e.n AS hops FROM (SELECT src, arg_max(cur, n) AS cur, max(n) AS n FROM walk GROUP BY src) e
+  LEFT JOIN un u ON u.id = e.cur),
+ways AS MATERIALIZED (SELECT x.catch, nb.id, nb.r, nb.c, nb.i, x.hops, CASE WHEN coalesce(nv, false) THEN y.catch END AS nxt,
+  CASE WHEN coalesce(nv, false) THEN CASE WHEN x.hops = 0 THEN 0 ELSE 2 END ELSE CASE WHEN x.hops = 0 THEN 1 ELSE 3 END END AS cls,
+  coalesce(nv, false) AS near, CAST(nh - h AS DOUBLE) AS rise, nh FROM nb JOIN ends x ON x.id = nb.id LEFT JOIN ends y ON y.id = nb.nid
+  WHERE nb.v AND x.catch IS NOT NULL AND (NOT coalesce(nv, false) OR y.catch IS DISTINCT FROM x.catch)),
+pick AS MATERIALIZED (SELECT catch, arg_min(struct_pack(id := id, r := r, c := c, i := i, nxt := nxt, reach := CASE WHEN cls = 3 THEN 4611686018427387904 ELSE
+  CASE WHEN cls = 2 THEN hops ELSE 0 END END), [CAST(cls AS DOUBLE), CASE WHEN near THEN hops ELSE 0 END, CASE WHEN near THEN rise ELSE 0 END,
+  CASE WHEN near THEN nh ELSE 0 END, r, c, i, coalesce(nxt, -1)]) AS p FROM ways GROUP BY catch)"""
+add("component_exit", B + NB + EXITS, f"""SELECT {ID.format('catch')} AS catch, CAST(p.r AS INT) AS "row", CAST(p.c AS INT) AS "col", CAST(p.i AS INT) AS dir,
+  CAST(p.reach AS BIGINT) AS reach, CASE WHEN p.nxt IS NOT NULL THEN {ID.format('p.nxt')} END AS nxt FROM pick, dims""")
+add("route_components", B + NB + EXITS + """,
+held AS MATERIALIZED (SELECT e.id, e.catch, p.p.id AS anchor, p.p.i AS dir FROM ends e JOIN pick p ON p.catch = e.catch WHERE e.hops <= p.p.reach),
+bfs(id, catch, d) USING KEY (id) AS (SELECT id, catch, 0 FROM held WHERE id = anchor UNION
+  SELECT f.id, b.catch, min(b.d + 1) FROM bfs b JOIN nb ON nb.id = b.id JOIN held f ON f.id = nb.nid AND f.catch = b.catch
+  LEFT JOIN recurring.bfs AS o ON o.id = f.id WHERE o.id IS NULL GROUP BY f.id, b.catch),
+turn AS (SELECT nb.id, arg_min(nb.i, [CAST(nb.nh - nb.h AS DOUBLE), nb.i]) AS i FROM nb JOIN bfs x ON x.id = nb.id
+  JOIN bfs y ON y.id = nb.nid AND y.catch = x.catch AND y.d < x.d GROUP BY nb.id)""",
+    f"SELECT {RC}, CAST(CASE WHEN held.id = anchor THEN dir ELSE turn.i END AS INT) AS routed FROM held JOIN cells USING (id) LEFT JOIN turn USING (id)")
 add("preprocess", OM.replace("cells AS MATERIALIZED", "cells0 AS MATERIALIZED") + """,
 sm AS (SELECT a.id, avg(CAST(b.h AS DOUBLE)) AS m FROM cells0 a JOIN cells0 b ON b.v AND b.r BETWEEN a.r - 1 AND a.r + 1
   AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.id),
