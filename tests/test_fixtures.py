@@ -169,3 +169,36 @@ def test_rasters_of_different_sizes_get_the_answers_they_get_alone(cells, tiles)
     alone = {(r["raster_id"], r["row"], r["col"]): r["height"] for p in parts for r in conditioning.preprocess(p, cfg).collect()}
     mixed = {(r["raster_id"], r["row"], r["col"]): r["height"] for r in conditioning.preprocess(parts[0].unionByName(parts[1]), cfg).collect()}
     assert mixed == alone
+
+
+def test_deep_basin_drains_after_the_iterative_fill(cells, tiles):
+    ring = np.minimum.reduce([*np.indices((7, 7)), *(6 - np.indices((7, 7)))])
+    filled, _, _ = conditioning.fill_sinks_iterative(cells(height=np.array([50, 40, 30, 0])[ring]))
+    routed = routing.flow_direction(filled)
+    assert min(grid_of(routed, "direction").values()) >= 0
+    flowgraph.assert_acyclic(routed)
+
+
+def test_accumulation_counts_every_upstream_cell(cells, tiles):
+    d = np.array([[2, 2, 4], [1, 2, 4], [0, 0, -1]])
+    steps = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    want = {}
+    for start in np.ndindex(3, 3):
+        at = start
+        while True:
+            want[at] = want.get(at, 0) + 1
+            if d[at] < 0:
+                break
+            at = (at[0] + steps[d[at]][0], at[1] + steps[d[at]][1])
+    for side in (2, 64):
+        tiles(side)
+        assert grid_of(flowgraph.flow_accumulation(cells(direction=d)), "accumulation") == want
+
+
+def test_auto_mask_judged_on_coarse_blocks(spark, cells, tiles):
+    h = np.full((8, 8), 100.0)
+    h[2:6, 2:6] = 30
+    assert spark.range(1).select(grid.scale_area(64, 2)).first()[0] == 16
+    masked = conditioning.auto_mask(cells(height=h), PreprocessConfig(auto_mask_min_region_size=64), scale=2)
+    got = grid_of(masked, "auto_mask")
+    assert len(got) == 64 and set(map(type, got.values())) == {bool}
