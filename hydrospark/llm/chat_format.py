@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Markers around a turn; the roles whose text is trained on.
@@ -52,11 +53,15 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     A row holds its two conversations, so one conversation must fit a row; conversations
     shared by many pairs are joined by ``conv_id`` without being gathered in one group.
     """
-    said = turns.select(
-        "conv_id", F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-                            F.coalesce("text", F.lit("")).alias("text")).alias("said"))
+    said = turns.select("conv_id", "turn", "role", "text")
     named = pairs.where(F.col("pair_id").isNotNull()).select("pair_id", "side", F.col("conv_id"))
-    both = named.join(said, "conv_id", "left")
+    return format_pairs(named.join(said.withColumn("there", F.lit(True)), "conv_id", "left"))
+
+
+def format_pairs(said: DataFrame) -> DataFrame:
+    """``preference_pairs`` of turns that carry their ``pair_id`` and ``side``; ``there`` is null for a side without turns."""
+    turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = said.select("pair_id", "side", F.when(F.col("there"), turn).alias("said"))
     side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("said"))))
     rows = both.groupBy("pair_id").agg(side("chosen").alias("chosen"), side("rejected").alias("rejected"))
     for name in ("chosen", "rejected"):
@@ -79,6 +84,38 @@ def _rendered_all_of(turns: str) -> Column:
     return F.array_join(F.transform(F.slice(turns, F.lit(1), F.col("n_prompt")), _rendered), "")
 
 
+def answer_pairs(turns: DataFrame) -> DataFrame:
+    """Every conversation as a pair of its own, for ``format_pairs``: chosen is the whole conversation, rejected
+    the same up to its last assistant turn, which is answered by its neighbour (2k and 2k + 1 answer for each other).
+
+    Without such a neighbour the rejected side ends with the prompt; a conversation without an assistant
+    turn is all prompt, and only a neighbour's answer may follow.  Turns that share the number of the last
+    assistant turn are left out with it, of several assistant turns there the greatest text answers.
+    Turns without ``conv_id`` belong to no pair.  One shuffle by conversation finds the last turns; only answers cross over.
+    """
+    named = turns.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long").alias("pair_id"), F.coalesce(F.col("turn").cast("int"), F.lit(-1)).alias("turn"), "role", "text")
+    answer = F.when(F.col("role") == "assistant", F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
+    seen = named.withColumn("last", F.max(answer).over(W.partitionBy("pair_id"))).withColumn(
+        "first", F.row_number().over(W.partitionBy("pair_id").orderBy("turn", "role", "text")) == 1)
+    before = F.col("last").isNull() | (F.col("turn") < F.col("last.turn"))
+    as_side = lambda pair, side, turn, role, text: F.struct(
+        pair.alias("pair_id"), F.lit(side).alias("side"), turn.alias("turn"), role.alias("role"), text.alias("text"), F.lit(True).alias("there"))
+    own = [F.col(c) for c in ("turn", "role", "text")]
+    answered = as_side(F.col("pair_id").bitwiseXOR(F.lit(1)), "rejected", F.lit(2**31 - 1), F.lit("assistant"), F.col("last.text"))
+    rows = F.array_compact(F.array(
+        as_side(F.col("pair_id"), "chosen", *own), F.when(before, as_side(F.col("pair_id"), "rejected", *own)),
+        F.when(F.col("first") & F.col("last").isNotNull(), answered)))
+    return seen.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def answered_pairs(turns: DataFrame) -> DataFrame:
+    """``format_pairs`` of ``answer_pairs``; pairs are those of conversations that exist."""
+    made = answer_pairs(turns)
+    own = F.max(F.col("side") == "chosen").over(W.partitionBy("pair_id"))
+    return format_pairs(made.withColumn("own", own).where("own").drop("own"))
+
+
 def id_pairs(turns: DataFrame) -> DataFrame:
     """Every conversation in one pair with its neighbour by id: 2k is chosen, 2k + 1 rejected."""
     ids = turns.select("conv_id").where(F.col("conv_id").isNotNull()).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.llm import simhash
-from hydrospark.llm.chat_format import id_pairs, preference_pairs, spans_text
+from hydrospark.llm.chat_format import answered_pairs, spans_text
 from hydrospark.llm.common import held_out, shuffle_parts, table
 from hydrospark.llm.decontaminate import leaked_regions
 from hydrospark.llm.ngram_join import ngram_jaccard_components
@@ -56,7 +56,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    made = preference_pairs(turns, id_pairs(turns))
+    made = answered_pairs(turns)
     return made.withColumns({c: spans_text(c) for c in ("chosen_mask", "rejected_mask")})
 
 
@@ -234,8 +234,13 @@ SELECT best.doc_id, best.bytes, best.depth, fits.shard_bytes, 0::BIGINT AS page,
        CASE WHEN best.depth = 0 THEN '' ELSE lpad(to_binary(fits.shard), best.depth, '0') END AS shard
 FROM best JOIN d USING (doc_id) JOIN fits ON fits.depth = best.depth AND fits.shard = d.h >> (60 - best.depth)""",
     "op4_chat_format": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-           row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+WITH said AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last_ AS (SELECT conv_id, max(turn) AS last FROM said WHERE role = 'assistant' GROUP BY 1),
+answer AS (SELECT xor(conv_id, 1) AS conv_id, max(text) AS text FROM said JOIN last_ USING (conv_id) WHERE role = 'assistant' AND turn = last GROUP BY 1),
+sides AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM said
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM said LEFT JOIN last_ USING (conv_id) WHERE last IS NULL OR turn < last
+  UNION ALL SELECT conv_id, 1, 2147483647, 'assistant', text FROM answer WHERE conv_id IN (SELECT conv_id FROM said)),
+t AS (SELECT pair_id, side, role, text, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS pos FROM sides),
 both_ AS (SELECT pair_id, pos, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b,
           count(DISTINCT role || chr(0) || text) AS kinds FROM t GROUP BY 1, 2),
 cut_ AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT (a = 1 AND b = 1 AND kinds = 1)) - 1, max(pos))::INT AS n FROM both_ GROUP BY 1),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hydrospark.llm import decontaminate, pieces, queries, simhash, substring_dedup, token_counts, toxicity
-from hydrospark.llm.chat_format import id_pairs, preference_pairs
+from hydrospark.llm.chat_format import answered_pairs, id_pairs, preference_pairs
 from hydrospark.llm.common import text_bytes
 from hydrospark.llm.ngram_join import ngram_jaccard_components
 from hydrospark.llm.pitman_yor import score_texts, seat
@@ -139,6 +139,25 @@ def test_preference_pairs(spark):
     assert preference_pairs(turns.where("false"), id_pairs(turns.where("false"))).count() == 0
 
 
+def test_pairs_of_a_conversation_and_its_neighbours_answer(spark):
+    said = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"),
+            (1, 0, "system", "s"), (1, 1, "assistant", "c é"), (2, 0, "user", "alone"), (2, 1, "assistant", "d"), (5, 0, "user", "no answer"),
+            (4, 0, "user", "x"), (4, 1, "assistant", "y"), (4, 1, "assistant", "z"), (None, 0, "assistant", "lost"), (8, None, None, None)]
+    turns = spark.createDataFrame([(*t, "p", True, 9) for t in said], "conv_id long, turn int, role string, text string, pair_id string, there boolean, last int")
+    made = {r.pair_id: r for r in answered_pairs(turns).collect()}
+    shown = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert set(made) == {0, 1, 2, 4, 5, 8}
+    assert made[0].prompt == shown("user", "q") + shown("assistant", "a") + shown("user", "r") and made[0].prompt_turns == 3
+    assert made[0].chosen == shown("assistant", "b") + shown("user", "bye") and made[0].rejected == shown("assistant", "c é")
+    assert [made[0].rejected[s.start:s.end] for s in made[0].rejected_mask] == ["c é<|end|>\n"]
+    assert (made[1].prompt, made[1].rejected) == (shown("system", "s"), shown("assistant", "b"))
+    assert (made[2].prompt, made[2].chosen, made[2].rejected) == (shown("user", "alone"), shown("assistant", "d"), "")
+    assert (made[4].prompt, made[4].chosen, made[4].rejected) == (shown("user", "x"), shown("assistant", "y") + shown("assistant", "z"), "")
+    assert (made[5].prompt, made[5].chosen, made[5].rejected) == (shown("user", "no answer"), "", shown("assistant", "z"))
+    assert (made[8].prompt, made[8].rejected) == (shown("", ""), "")
+    assert answered_pairs(turns.where("false")).count() == 0
+
+
 def test_simhash(spark, texts):
     distinct = list({i: t for i, t in texts}.items())
     made = {r.doc_id: r for r in simhash.with_likeness(simhash.edited_fingerprints(table(spark, distinct))).collect()}
