@@ -1,4 +1,10 @@
-"""A corpus pipeline over ``documents``: five stages, each written as Parquet and read again."""
+"""A corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
+
+In every stage null and empty texts are documents without words: they hold no toxic term, passage or benchmark
+item, are like no other document, and stay.  Rows without an id stay in every filtering stage.  Rows that share an id
+are judged by their own text, except in ``keep_one_of_similar``, where they share their fate.  Empty tables
+give empty tables.  All but the last stage return the columns they were given, whatever their names.
+"""
 
 from __future__ import annotations
 

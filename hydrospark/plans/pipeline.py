@@ -15,7 +15,7 @@ from hydrospark.operators import render
 from hydrospark.operators.grid import densify, overview
 from hydrospark.operators.routing import flow_direction
 from hydrospark.schema import KEYS
-from hydrospark.scratch import cut, drop_scratch, scratch_mark
+from hydrospark.scratch import cut, scratch_scope
 from hydrospark.sources import stages as store
 
 
@@ -106,11 +106,10 @@ def run_pipeline(
 
     ran = []
     for stage in STAGES[first:last + 1]:
-        mark = scratch_mark()
-        written = store.write_stage(build(stage), run_dir, stage, prints[stage])
-        if previews:
-            write_previews(stage, written, run_dir, cfg)
-        drop_scratch(spark, mark)
+        with scratch_scope(spark):
+            written = store.write_stage(build(stage), run_dir, stage, prints[stage])
+            if previews:
+                write_previews(stage, written, run_dir, cfg)
         ran.append(stage)
         if stage == STAGES[-1] and output_path:
             written.write.mode("overwrite").partitionBy("raster_id").parquet(output_path)

@@ -7,8 +7,11 @@ re-read, later stages prune columns, and sizes are known exactly.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -18,26 +21,31 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("spark.hydrospark.scratchDir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="hydrospark-")
         spark.conf.set("spark.hydrospark.scratchDir", folder)
     return folder.rstrip("/")
 
 
-_written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
-def scratch_mark() -> int:
-    """Position to hand to ``drop_scratch`` later."""
-    return len(_written)
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the scratch tables written inside when it ends; nothing may read them after.
 
-
-def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
-    """Delete the scratch tables written since ``mark``; nothing may still read them."""
-    while len(_written) > mark:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Scopes of other threads, and an outer one, keep their own tables.
+    """
+    written: list[str] = []
+    token = _scope.set(written)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for table in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, **metrics: Column):
@@ -50,7 +58,8 @@ def cut(df: DataFrame, **metrics: Column):
         return df
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    _written.append(path)
+    if (written := _scope.get()) is not None:
+        written.append(path)
     seen = None
     if metrics:
         seen = Observation(uuid.uuid4().hex)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hydrospark.config import STAGES, ChannelExtractConfig, FlowDirectionConfig, PipelineConfig, PreprocessConfig
 from hydrospark.operators import grid, render
 from hydrospark.plans.pipeline import run_pipeline
+from hydrospark.scratch import cut, scratch_scope
 from hydrospark.sources import rasters, stages
 
 # A valley like the reference sample: plain PGM text with comment lines.
@@ -151,6 +152,19 @@ def test_a_changed_setting_or_input_reruns_from_the_first_touched_stage(spark, p
     assert run(cells.withColumn("height", F.col("height") + 1), cfg(6, 2.0)) == STAGES[2:]
 
 
+def test_scratch_tables_end_with_their_own_scope(spark):
+    table = spark.range(3)
+    with scratch_scope(spark):
+        outer = cut(table)
+        with scratch_scope(spark):
+            inner = cut(table)
+            paths = [df.inputFiles()[0] for df in (outer, inner)]
+        assert outer.count() == 3
+        there = lambda p: spark._jvm.java.io.File(p.removeprefix("file://").removeprefix("file:")).exists()
+        assert there(paths[0]) and not there(paths[1])
+    assert not there(paths[0]) and cut(table).count() == 3
+
+
 def test_previews_fit_their_side(spark, cells):
     table = cells(height=np.arange(600 * 3).reshape(3, 600) % 256)
     small = grid.overview(table.select("raster_id", "row", "col", F.col("height").alias("gray")), 512, means=("gray",))
