@@ -9,6 +9,9 @@ Two exact reductions come first.  Equal sets collapse to their least document.
 set more than ``1 - threshold`` of whose shingles occur in no other set can link to
 nothing (the union of all others is the first bound): counting on a fixed slice of the
 hash space drops most sets before their full shingles are ever moved.
+
+Links are counted without being written as pairs where sets share a group: a group is dealt
+into blocks of bounded size, and a task counts what two blocks have in common.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from hydrospark.llm.common import arrow_map, as_long, batch, blocks, shuffle_par
 from hydrospark.llm.links import components
 from hydrospark.llm.words import mix, run_starts, shingles, split_words
 from hydrospark.scratch import cut
+from hydrospark.tiling import lookup_salted
 
 #: Share of the hash space counted in the first reduction; must exceed 1 - threshold to drop anything.
 SLICE = 0.3
@@ -34,9 +38,14 @@ SLICE = 0.3
 GROUP_KEYS = 3
 #: Ratio between the sizes of neighbouring classes of sets.
 CLASS_STEP = 1.02
+#: Shingles and sets of a block of a group: a task compares the sets of two blocks at once.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 17, 1 << 10
+#: Shingles per step of such a comparison.
+STEP_SHINGLES = 1 << 11
 
 _HEADS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
 _SETS = pa.schema([*_HEADS, ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+_LINKED = pa.schema([("rep", pa.int64()), ("links", pa.int64())])
 _ALONE = pa.schema([("fp1", pa.int64()), ("n", pa.int64()), ("alone", pa.int64())])
 
 
@@ -222,7 +231,84 @@ def _opened_links(core: DataFrame, opened: DataFrame, threshold: int) -> DataFra
     return met.where(later & _size_fits(threshold)).where(_similar(threshold)).select("rep", "q_rep")
 
 
-def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
+def _common(x, y) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``; both are (tokens, set of each token, number of sets)."""
+    (tx, sx, nx), (ty, sy, ny) = x, y
+    known = np.intersect1d(tx, ty)
+    out = np.zeros((nx, ny))
+    if not len(known):
+        return out
+
+    def placed(tokens, owner):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        hit = known[at] == tokens
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    def dense(at, owner, n, low, high):
+        a, b = np.searchsorted(at, (low, high))
+        held = np.zeros((n, high - low), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        return held
+
+    px, py = placed(tx, sx), placed(ty, sy)
+    for low in range(0, len(known), STEP_SHINGLES):
+        high = min(low + STEP_SHINGLES, len(known))
+        out += dense(*px, nx, low, high) @ dense(*py, ny, low, high).T
+    return out
+
+
+def _count_links(batches, threshold: int):
+    """For each row, one block of a group or two: the copies of the sets that each of its sets links with."""
+    for rows in batches:
+        pairs = rows.column("blocks")
+        sets = pairs.values.values
+        ends, inner = np.asarray(pairs.offsets), np.asarray(pairs.values.offsets)
+        rep, copies, size = (np.asarray(sets.field(c)) for c in ("rep", "copies", "n"))
+        lists = sets.field("tokens")
+        first, tokens = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
+        found, counts = [], []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            sides = []
+            for low, high in zip(inner[a:b], inner[a + 1:b + 1], strict=True):
+                owner = np.repeat(np.arange(high - low), np.diff(first[low:high + 1]))
+                sides.append((slice(low, high), (tokens[first[low]:first[high]], owner, int(high - low))))
+            (x, held_x), (y, held_y) = sides[0], sides[-1]
+            shared = _common(held_x, held_y)
+            linked = 100 * shared >= threshold * (size[x][:, None] + size[y][None, :] - shared)
+            if len(sides) == 1:
+                np.fill_diagonal(linked, False)
+            else:
+                found.append(rep[y])
+                counts.append(linked.T @ copies[x])
+            found.append(rep[x])
+            counts.append(linked @ copies[y])
+        if found:
+            found, counts = np.concatenate(found), np.concatenate(counts)
+            yield batch(_LINKED, found[counts > 0], counts[counts > 0])
+
+
+def _links_inside(grouped: DataFrame, copies: DataFrame, threshold: int) -> DataFrame:
+    """(rep, links): the copies of the sets linked with a set in its own group.
+
+    A group of many sets becomes blocks; every two of its blocks, and each alone, are one
+    task's row.  What is moved and compared grows with the links looked at, what a task holds does not.
+    """
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1").select(
+        "grp", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("of"))
+    dealt = lookup_salted(grouped, sizes, ["grp"], F.col("rep")).where("of IS NOT NULL").join(copies, "rep")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    sets = F.collect_list(F.struct("rep", "copies", "n", "tokens")).alias("sets")
+    block = cut(dealt.groupBy("grp", "of", "block").agg(sets))
+    other = block.where("of > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    pairs = other.groupBy("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+        F.collect_list("sets").alias("blocks")).where("i = j OR size(blocks) = 2").select("blocks")
+    tasks = block.where("of = 1").select(F.array("sets").alias("blocks")).unionByName(pairs)
+    return arrow_map(tasks, partial(_count_links, threshold=threshold), "rep long, links long")
+
+
+def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int = 80, count_links: bool = False) -> DataFrame:
     """Classes of documents linked by word-shingle Jaccard similarity.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Words are lower-cased
@@ -231,12 +317,15 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int =
     ``100 * |intersection| >= threshold * |union|``.  Rows of one ``doc_id`` each keep a row;
     a null id is a row with a null class.  An empty table gives an empty result.
 
-    Returns ``doc_id, n_shingles, component_id``: the least id reachable by links.
+    Returns ``doc_id, n_shingles, component_id``: the least id reachable by links; with ``count_links``
+    also ``n_links``, the other rows (of an id) that a row links with: copies and altered copies alike.
+    Texts under one id count as one node there too; a null id has a null count.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_parts(docs)
     heads = cut(arrow_map(docs, partial(_heads, size=shingle), "doc_id long, n long, fp1 long, fp2 long"))
-    reps = heads.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    reps = heads.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     share = SLICE if SLICE * 100 > 100 - threshold else 1.0
     sent = arrow_map(docs, partial(_send_texts, size=shingle, share=share, buckets=2 * parts), packed.SCHEMA)
@@ -257,12 +346,20 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, threshold: int =
     leader = led.groupBy("rep").agg(F.min("q_rep").alias("q_rep")).join(
         led.select(F.col("q_rep").alias("rep")).distinct(), "rep", "left_anti")
     grouped = cut(core.join(leader, "rep", "left").select("rep", "n", "tokens", F.coalesce("q_rep", "rep").alias("grp")))
-    opened = _opened(grouped, threshold)
-    found = components(led.unionByName(_opened_links(grouped, opened, threshold)), "rep", "q_rep")
+    across = _opened_links(grouped, _opened(grouped, threshold), threshold)
+    across = cut(across) if count_links else across
+    found = components(led.unionByName(across), "rep", "q_rep")
 
     classes = reps.join(found, reps.rep == found.node, "left").select(
-        "n", "fp1", "fp2", F.coalesce("root", "rep").alias("root"))
-    out = heads.join(classes, ["n", "fp1", "fp2"], "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+        "n", "fp1", "fp2", "rep", "copies", F.coalesce("root", "rep").alias("root"))
+    named = F.col("doc_id").isNotNull()
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("root", "doc_id")).alias("component_id")]
+    if count_links:
+        copies = cut(reps.join(core.select("rep").distinct(), "rep").groupBy("rep").agg(F.sum("copies").alias("copies")))
+        both = across.unionByName(across.select(F.col("q_rep").alias("rep"), F.col("rep").alias("q_rep")))
+        outside = both.join(copies.withColumnRenamed("rep", "q_rep"), "q_rep").select("rep", F.col("copies").alias("links"))
+        links = _links_inside(grouped, copies, threshold).unionByName(outside).groupBy("rep").agg(F.sum("links").alias("links"))
+        classes = classes.join(links, "rep", "left")
+        columns.append(F.when(named, F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+    out = heads.join(classes.drop("rep"), ["n", "fp1", "fp2"], "left")
+    return out.select(*columns)

@@ -35,7 +35,7 @@ RADIUS = 14
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle=4, threshold=85)
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle=4, threshold=85, count_links=True)
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
@@ -221,9 +221,10 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws)
 sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY 1, 2""",
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+degree AS (SELECT x AS doc_id, count(*) AS links FROM links GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id, coalesce(links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN degree USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY 1, 2, links""",
     "op3_sharding": f"""
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
            ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS h FROM documents),

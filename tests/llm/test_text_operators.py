@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hydrospark.llm import decontaminate, pieces, queries, simhash, substring_dedup, token_counts, toxicity
+from hydrospark.llm import decontaminate, ngram_join, pieces, queries, simhash, substring_dedup, token_counts, toxicity
 from hydrospark.llm.chat_format import answered_pairs, id_pairs, preference_pairs
 from hydrospark.llm.common import text_bytes
 from hydrospark.llm.ngram_join import ngram_jaccard_components
@@ -69,8 +69,12 @@ def sets_of(text, size):
 
 
 @pytest.mark.parametrize(("size", "threshold"), [(4, 85), (5, 80), (2, 60)])
-def test_ngram_join(spark, texts, size, threshold):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(table(spark, texts), size, threshold).collect()}
+def test_ngram_join(spark, texts, size, threshold, monkeypatch):
+    if size == 2:  # groups of many blocks, compared in many steps
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
+    rows = ngram_jaccard_components(table(spark, texts), size, threshold, count_links=True).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
     sets = {i: sets_of(t, size) for i, t in texts}
     root = {i: i for i in sets}
 
@@ -83,6 +87,25 @@ def test_ngram_join(spark, texts, size, threshold):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    kept = [sets_of(t, size) for _, t in texts]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= threshold * len(a | b)
+    wanted = sorted((i, sum(linked(kept[x], s) for s in kept) - bool(kept[x])) for x, (i, _) in enumerate(texts))
+    assert sorted((r.doc_id, r.n_links) for r in rows) == wanted
+    assert max(n for _, n in wanted) > 3
+
+
+def test_ngram_join_counts_of_blocks_agree_with_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, n)) for n in (0, 1, 4000, 5000, 30)]
+    side = lambda part: (np.concatenate(part), np.repeat(np.arange(len(part)), [len(s) for s in part]), len(part))
+    x, y = sets[:3], sets[2:]
+    assert ngram_join._common(side(x), side(y)).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
+def test_ngram_join_of_missing_ids_and_no_rows(spark):
+    rows = ngram_jaccard_components(table(spark, [(None, "a b c d e"), (4, "a b c d e"), (-2, "a b c d e")]), 4, 85, True).collect()
+    assert sorted(((r.doc_id, r.component_id, r.n_links) for r in rows), key=str) == [(-2, -2, 1), (4, -2, 1), (None, None, None)]
+    assert ngram_jaccard_components(table(spark, [(1, "x")]).limit(0), 4, 85, True).collect() == []
 
 
 def test_substring_dedup(spark, texts):
