@@ -132,7 +132,7 @@ def test_cycles_across_tiles(cells, tiles):
 def test_quantile_by_buckets(spark):
     values = np.round(np.random.default_rng(5).random(3000) ** 3 * 100, 3)
     table = spark.createDataFrame([("a", float(x)) for x in values], "raster_id string, x double")
-    got = exact_quantile(table, "x", 0.95, "q", max_distinct=20).first()["q"]
+    got = exact_quantile(table, "x", 0.95, "q", accuracy=20).first()["q"]
     assert abs(got - np.percentile(values, 95)) < 1e-9
 
 
@@ -269,3 +269,34 @@ def test_segments_are_assigned_by_distance_and_strength(cells, tiles):
     placed = regions.assign_segments(focal.outlet_drop(labelled)).where("seg_of IS NOT NULL")
     got = {(r["row"], r["col"]): ((r["seg_of"] >> 32, r["seg_of"] & 0xFFFFFFFF), r["dist"]) for r in placed.collect()}
     assert got == want
+
+
+def test_quantiles_of_skewed_and_tied_values_are_exact(spark):
+    rng = np.random.default_rng(8)
+    sets = {
+        "tied": np.repeat([0.0, 0.0, 0.0, 7.5], 500), "skewed": np.exp(rng.normal(0, 40, 3000)),
+        "few": np.array([3.0, -1.0]), "one": np.array([2.5]), "mixed": np.append(np.zeros(1900), rng.normal(size=200)),
+    }
+    rows = [(k, float(v)) for k, values in sets.items() for v in values] + [("nulls", None), ("few", None)]
+    table = spark.createDataFrame(rows, "raster_id string, x double").repartition(7)
+    for q, accuracy in ((0.0, 20), (0.05, 20), (0.5, 10_000), (0.95, 20), (1.0, 20)):
+        got = {r.raster_id: r.q for r in exact_quantile(table, "x", q, "q", accuracy=accuracy).collect()}
+        assert got.keys() == sets.keys()
+        for k, values in sets.items():
+            assert got[k] == pytest.approx(np.quantile(values, q), rel=1e-12), (k, q, accuracy)
+
+
+def test_a_bracket_that_misses_runs_again(spark, monkeypatch):
+    from hydrospark.functions import quantiles
+
+    real, calls = quantiles._picked, []
+
+    def late(values, bracket):
+        calls.append(1)
+        shift = F.when(F.col("raster_id") == "a", 1000.0).otherwise(0.0) if len(calls) == 1 else F.lit(0.0)
+        return real(values, bracket.withColumn("lo", F.col("lo") + shift).withColumn("hi", F.col("hi") + shift))
+
+    monkeypatch.setattr(quantiles, "_picked", late)
+    table = spark.createDataFrame([(k, float(i)) for k in "ab" for i in range(101)], "raster_id string, x double")
+    got = {r.raster_id: r.q for r in exact_quantile(table, "x", 0.5, "q").collect()}
+    assert got == {"a": 50.0, "b": 50.0} and len(calls) == 2
